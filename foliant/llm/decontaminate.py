@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .words import LETTERS, Chunk, chunks, column_bytes
 
@@ -227,3 +228,35 @@ def report(found: DataFrame, id_col: str = "doc_id", least_items: int = 2) -> Da
     kind = found.schema[id_col].dataType.simpleString()
     out = found.withColumnRenamed(id_col, "id").select("id", "n_words", "spans").mapInArrow(_report, f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string")
     return out.withColumnRenamed("id", id_col).withColumn("contaminated", F.col("n_items") >= least_items)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least_items: int = 1, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows, with all their columns, in which windows of fewer than ``least_items`` items occur.
+
+    With several blocks of items, the items found so far go along in a column of a name that docs does not have.
+    """
+    at, kind = docs.columns.index(text_col), docs.schema
+    count = "_items"
+    while count in docs.columns:
+        count += "_"
+    indexes = blocks_of(benchmark, item_col, item_text)
+
+    def items(index: Index):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = []
+                for c in chunks(column_bytes(batch.column(at)), LETTERS):
+                    row, _, item, _, _ = shard_hits(c, index)
+                    pairs = np.unique(np.stack([row, item]), axis=1)
+                    found.append(np.bincount(pairs[0], minlength=len(c.texts)))
+                n = np.concatenate(found) if found else np.empty(0, np.int64)
+                if batch.num_columns > len(kind):
+                    n = n + batch.column(len(kind)).to_numpy()
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(kind)], pa.array(n, pa.int64())], names=[*kind.names, count])
+
+        return run
+
+    out = docs
+    for index in indexes:
+        out = out.mapInArrow(items(index), StructType([*kind.fields, StructField(count, LongType())]))
+    return out.where(F.col(count) < least_items).drop(count)

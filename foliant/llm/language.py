@@ -145,3 +145,15 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, ambiguous boolean").withColumnRenamed("id", id_col)
+
+
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has a language; ``und`` rows go. Ambiguous ones stay."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang = model.predict(column_bytes(batch.column(at)))[0]
+            yield batch.filter(pa.array([k != "und" for k in lang], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -255,6 +255,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that stand for their group; of rows with equal id and text one stays.
+
+    Rows of null id belong to no group and stay.
+    """
+    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept")).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col, text_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def _texts_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The texts of the ids in pairs; ids of equal texts appear once, and an id that repeats gives one row."""
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()

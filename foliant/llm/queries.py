@@ -26,6 +26,33 @@ def op9_suffix_array_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return report(matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op2_png_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .png import report
+
+    return report(_table(spark, sf_dir, "documents"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import judged
+
+    return judged(_table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_bpe_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import Counts, token_counts
+
+    return token_counts(_table(spark, sf_dir, "documents"), Counts.from_file(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extract import main_text
+
+    pages = _table(spark, sf_dir, "pages")
+    return main_text(pages, keep=("url",)).select("page_id", "url", "text", "n_chars")
+
+
 def op6_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import score
 
@@ -63,7 +90,42 @@ def op8_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_near_dedup, op6_mil_toxicity, op7_ecoc_language, op8_attention_quality, op9_suffix_array_decontamination)}
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pieces import report
+
+    return report(_table(spark, sf_dir, "documents"), piece_model())
+
+
+def piece_model():
+    import public_tokenizers
+
+    from .pieces import Model
+
+    return Model.from_file(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_minhash_near_dedup,
+        op2_png_media,
+        op3_url_filter,
+        op4_bpe_token_counts,
+        op5_html_main_text,
+        op6_mil_toxicity,
+        op7_ecoc_language,
+        op8_attention_quality,
+        op9_suffix_array_decontamination,
+        op10_sentencepiece,
+        pipeline,
+    )
+}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -99,3 +161,22 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(c.n_hit, 0)::BIGINT AS n_
   sha256(coalesce(t.items, '')) AS items_sha256, coalesce(t.n_items, 0) >= 2 AS contaminated
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
 }
+
+
+def _url_sql() -> str:
+    from .url_filter import RULES, VOCABULARY
+
+    terms = ", ".join(f"('{t}', {w})" for t, w in VOCABULARY.items())
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for (h, p), v in RULES.items())
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH terms(term, weight) AS (VALUES {terms}), rules(h, p, v) AS (VALUES {rules}),
+u AS (SELECT row_number() OVER () AS k, page_id, coalesce(url, '') AS url, CASE WHEN strpos(url, '://') > 0 THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages),
+s AS (SELECT k, page_id, url, {lower.format("CASE WHEN strpos(rest, '/') > 0 THEN substr(rest, 1, strpos(rest, '/') - 1) ELSE rest END")} AS host, CASE WHEN strpos(rest, '/') > 0 THEN substr(rest, strpos(rest, '/')) ELSE '' END AS path FROM u),
+r AS (SELECT k, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM s JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY k),
+w AS (SELECT k, sum(weight) AS weight FROM s JOIN terms ON regexp_matches({lower.format("url")}, '(^|[^0-9a-z])' || term || '([^0-9a-z]|$)') GROUP BY k)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN v WHEN coalesce(weight, 0) >= 2 THEN 'block' ELSE 'allow' END AS verdict
+FROM s LEFT JOIN r ON r.k = s.k LEFT JOIN w ON w.k = s.k"""
+
+
+ORACLE_SQL["op3_url_filter"] = _url_sql()

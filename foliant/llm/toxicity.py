@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: sentences are instances, documents carry the labels.
 
-A sentence's chance of being toxic is a logistic function of its words; a document's is the noisy-or of its sentences',
+A sentence's chance of being toxic is a logistic function of its words and of their beginnings; a document's is the noisy-or of its sentences',
 1 - prod(1 - p). The weights are trained from document labels only, through the noisy-or. The same sentence chances
 then locate the offending sentences.
 
@@ -22,7 +22,9 @@ from .store import bounded_sample
 from .words import LETTERS, Chunk, chunks, column_bytes
 
 PER_LABEL = 3000
-LEAST_DOCUMENTS = 4
+#: A word or beginning takes part if so many documents of the sample have it, and its share of toxic ones is so many standard deviations off.
+LEAST_DOCUMENTS, LEAST_DEVIATION = 4, 4.0
+PREFIXES = (4, 5, 6, 7, 8)
 _ENDS = np.zeros(256, np.int32)
 _ENDS[[0x21, 0x2E, 0x3F, 0x0A]] = 1
 
@@ -44,17 +46,20 @@ class Model:
         if not len(y) or y.min() == y.max():
             return
         words, sentence, row = [], [], []
-        for c in chunks(texts, LETTERS):
+        for c in chunks(texts, LETTERS, latin=True):
             s, r = sentences(c)
-            words.append(c.hashes())
-            sentence.append(s + sum(map(len, row)))
+            for of, h in c.parts(PREFIXES):
+                words.append(h)
+                sentence.append(s[of] + sum(map(len, row)))
             row.append(r + c.first)
         word, sentence, row = (np.concatenate(x) for x in (words, sentence, row))
         vocabulary, word = np.unique(word, return_inverse=True)
         pair = np.unique(word * len(y) + row[sentence])
         df = np.bincount(pair // len(y), minlength=len(vocabulary))
         df1 = np.bincount(pair // len(y), weights=y[pair % len(y)], minlength=len(vocabulary))
-        known = df >= LEAST_DOCUMENTS
+        rate = y.mean()
+        off = (df1 - rate * df) / np.sqrt(df * rate * (1 - rate) + 1e-9)
+        known = (df >= LEAST_DOCUMENTS) & (np.abs(off) >= LEAST_DEVIATION)
         number = np.cumsum(known) - 1
         keep = known[word]
         word, of = number[word[keep]], sentence[keep]
@@ -89,15 +94,15 @@ class Model:
         sentence, row = sentences(chunk)
         z = np.full(len(row), self.bias)
         if len(self.vocabulary) and len(sentence):
-            h = chunk.hashes()
-            at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
-            hit = np.flatnonzero(self.vocabulary[at] == h)
-            z += np.bincount(sentence[hit], weights=self.weights[at[hit]], minlength=len(row))
+            for of, h in chunk.parts(PREFIXES):
+                at = np.minimum(np.searchsorted(self.vocabulary, h), len(self.vocabulary) - 1)
+                hit = np.flatnonzero(self.vocabulary[at] == h)
+                z += np.bincount(sentence[of[hit]], weights=self.weights[at[hit]], minlength=len(row))
         return np.logaddexp(0, z), row, sentence
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros(len(texts))
-        for c in chunks(texts, LETTERS):
+        for c in chunks(texts, LETTERS, latin=True):
             soft, row, _ = self.chances(c)
             out[c.first : c.first + len(c.texts)] = -np.expm1(-np.bincount(row, weights=soft, minlength=len(c.texts)))
         return np.clip(out, 0, 1)
@@ -105,7 +110,7 @@ class Model:
     def offending(self, text: bytes, least: float = 0.5) -> list[tuple[int, int, float]]:
         """(start, end, chance) in bytes of the sentences at or over ``least``, from the first to the last word."""
         out = []
-        for c in chunks([text], LETTERS):
+        for c in chunks([text], LETTERS, latin=True):
             soft, _, sentence = self.chances(c)
             for k in np.flatnonzero(-np.expm1(-soft) >= least).tolist():
                 of = np.flatnonzero(sentence == k)
@@ -137,3 +142,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kind = rows.schema["id"].dataType.simpleString()
     more = ", sentences array<struct<start:int,end:int,chance:double>>" if spans else ""
     return rows.mapInArrow(run, f"id {kind}, score double{more}").withColumnRenamed("id", id_col)
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose score is below the threshold."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(model.scores(column_bytes(batch.column(at))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -64,11 +64,18 @@ def mix(h: np.ndarray) -> np.ndarray:
 class Chunk:
     """Some whole texts: rows ``first..last`` of a batch, their bytes, words (starts, ends) and word offsets by row."""
 
-    def __init__(self, texts: list[bytes], first: int, kind: np.ndarray):
+    def __init__(self, texts: list[bytes], first: int, kind: np.ndarray, latin: bool = False):
         self.first, self.texts = first, texts
         joined = b"\n" + b"\n".join(texts) + b"\n"
         self.bytes = np.frombuffer(joined, np.uint8)
         lens = np.fromiter(map(len, texts), np.int64, len(texts))
+        if latin:
+            # upper-case letters U+00C0 to U+00DE are C3 80 to C3 9E; the lower-case ones stand 32 further on
+            b = self.bytes.copy()
+            at = np.flatnonzero(b == 0xC3) + 1
+            at = at[(b[at] >= 0x80) & (b[at] <= 0x9E) & (b[at] != 0x97)]
+            b[at] += 32
+            self.bytes = b
         self.row_start = np.concatenate(([1], 1 + np.cumsum(lens + 1)))
         m = kind[self.bytes]
         edges = np.flatnonzero(m[1:] != m[:-1]) + 1
@@ -77,10 +84,19 @@ class Chunk:
         self.row = np.repeat(np.arange(len(texts)), np.diff(self.offset))
 
     def hashes(self) -> np.ndarray:
+        return self.parts(())[0][1]
+
+    def parts(self, prefixes: tuple[int, ...]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(words, hashes) of the whole words, then for each length of the longer words' prefixes of so many bytes."""
         n = len(self.bytes)
         p, inverse = _series(n)
         c = np.cumsum(VALUES[self.bytes] * p[:n])
-        return mix((c[self.end - 1] - c[self.start - 1]) * inverse[self.start])
+        before, inverse = c[self.start - 1], inverse[self.start]
+        out = [(np.arange(len(self.start)), mix((c[self.end - 1] - before) * inverse))]
+        for k in prefixes:
+            of = np.flatnonzero(self.end - self.start > k)
+            out.append((of, mix((c[self.start[of] + (k - 1)] - before[of]) * inverse[of] + np.uint64(k))))
+        return out
 
 
 def column_bytes(column: pa.Array) -> list[bytes]:
@@ -88,17 +104,38 @@ def column_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def chunks(texts: list[bytes], kind: np.ndarray) -> Iterator[Chunk]:
+def chunks(texts: list[bytes], kind: np.ndarray, latin: bool = False) -> Iterator[Chunk]:
+    """latin: accented Latin letters are lower-cased too."""
     first, size = 0, 0
     for i, t in enumerate(texts):
         if i > first and size + len(t) > CHUNK:
-            yield Chunk(texts[first:i], first, kind)
+            yield Chunk(texts[first:i], first, kind, latin)
             first, size = i, 0
         size += len(t) + 1
     if first < len(texts):
-        yield Chunk(texts[first:], first, kind)
+        yield Chunk(texts[first:], first, kind, latin)
 
 
 def word_hash(word: bytes) -> int:
     """The hash that Chunk.hashes gives a single word."""
     return int(Chunk([word], 0, np.ones(256, bool) & (np.arange(256) != 10)).hashes()[0])
+
+
+class Remembered:
+    """A table of bounded size in two generations: when the young one is full it becomes the old one; hits keep living."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most // 2, {}, {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
