@@ -20,13 +20,16 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import Remembered
+from .words import Remembered, small
 
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -106,101 +109,109 @@ class Model:
 
     def _ready(self) -> None:
         self.ids = {p: i for i, (p, _, t) in enumerate(self.pieces) if t in (NORMAL, USER_DEFINED, UNUSED)}
-        self.score = [s for _, s, _ in self.pieces]
+        self.worth = {p: s for p, s, t in self.pieces if t in (NORMAL, USER_DEFINED, UNUSED)}
+        self.paths: dict[str, tuple] = {}  # of pieces, so as many at most
         self.unknown = next((i for i, (_, _, t) in enumerate(self.pieces) if t == UNKNOWN), 0)
         found = {int(p[1:-1], 16): i for i, (p, _, t) in enumerate(self.pieces) if t == BYTE}
         self.bytes = [found[b] for b in range(256)] if len(found) == 256 else None
         self.floor = min((s for _, s, t in self.pieces if t == NORMAL), default=0.0) - PENALTY
+        self.shown: list[str | None] = []
+        for p, _, t in self.pieces:
+            code = int(p[1:-1], 16) if t == BYTE else 0
+            self.shown.append((chr(code) if code < 128 else None) if t == BYTE else " ⁇ " if t == UNKNOWN else "" if t == CONTROL else p.replace(SPACE, " "))
         # breaks that no piece reaches over: before a space mark that follows another sign, and around line ends
         inner = any(SPACE in p.lstrip(SPACE) or ("\n" in p and p != "\n") for p in self.ids)
         self.split = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n" if not inner else r"(?s).+").findall
         self.known = Remembered(REMEMBERED)
         self.fits = Remembered(REMEMBERED)
-        self._automaton()
-
-    def _automaton(self) -> None:
-        """next[state]: by character; link: the longest proper suffix that is a state; out: the nearest state, itself included, where a piece ends."""
-        self.next: list[dict[str, int]] = [{}]
-        self.ends: list[str | None] = [None]
+        self.automaton = ahocorasick.Automaton()  # its matches at each position follow the output links
         for p in self.ids:
-            s = 0
-            for ch in p:
-                t = self.next[s].get(ch)
-                if t is None:
-                    t = self.next[s][ch] = len(self.next)
-                    self.next.append({})
-                    self.ends.append(None)
-                s = t
-            self.ends[s] = p
-        n = len(self.next)
-        self.link, self.out = [0] * n, [0] * n
-        queue = [0]
-        for s in queue:
-            for ch, t in self.next[s].items():
-                queue.append(t)
-                if s:
-                    k = self.link[s]
-                    while k and ch not in self.next[k]:
-                        k = self.link[k]
-                    self.link[t] = self.next[k].get(ch, 0)
-                self.out[t] = t if self.ends[t] is not None else self.out[self.link[t]]
-
-    def _merged(self, symbols: list[str]) -> list[str]:
-        """What merging gives, the best-scored pair first and the leftmost of equals; for short texts only."""
-        while True:
-            best, at = None, -1
-            for i in range(len(symbols) - 1):
-                k = self.ids.get(symbols[i] + symbols[i + 1])
-                if k is not None and (best is None or self.score[k] > best):
-                    best, at = self.score[k], i
-            if best is None:
-                return symbols
-            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            if p:
+                self.automaton.add_word(p, (p, len(p)))
+        if self.ids:
+            self.automaton.make_automaton()
+
+    def _path(self, p: str) -> tuple[bool, list[float], list[str], list[str]]:
+        """How merging makes p of its characters, the best-scored pair first and the leftmost of equals: whether it
+        comes to p, the score of each merge, and the last and the first symbol before each merge and at the end."""
+        found = self.paths.get(p)
+        if found is None:
+            symbols, scores, last, first = list(p), [], [p[-1]], [p[0]]
+            while True:
+                best, at = None, -1
+                for i in range(len(symbols) - 1):
+                    v = self.worth.get(symbols[i] + symbols[i + 1])
+                    if v is not None and (best is None or v > best):
+                        best, at = v, i
+                if best is None:
+                    break
+                symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+                scores.append(best)
+                last.append(symbols[-1])
+                first.append(symbols[0])
+            found = self.paths[p] = (len(symbols) == 1, scores, last, first)
+        return found
 
     def _fit(self, a: str, b: str) -> bool:
+        """Whether merging a + b gives a and b: no pair over the border is ever the best while each side is merged."""
         ok = self.fits.get((a, b))
         if ok is None:
-            ok = self._merged(list(a + b)) == [a, b]
+            whole, x, last, _ = self._path(a)
+            ok, y, _, first = self._path(b)
+            ok = ok and whole
+            i = j = 0
+            while ok:
+                over = self.worth.get(last[i] + first[j])
+                if over is not None and (i == len(x) or over > x[i]) and (j == len(y) or over >= y[j]):
+                    ok = False
+                elif i == len(x) and j == len(y):
+                    break
+                elif j == len(y) or (i < len(x) and x[i] >= y[j]):
+                    i += 1
+                else:
+                    j += 1
             self.fits.put((a, b), ok)
         return ok
 
     def segment(self, text: str) -> list[str]:
         """One pass of the automaton; last[i] is the last piece of the best segmentation of text[:i]."""
-        n, state = len(text), 0
+        n, at = len(text), 0
         last: list[str | None] = [""] + [None] * n
         best = [0.0] + [float("-inf")] * n
-        nexts, links, outs, ends = self.next, self.link, self.out, self.ends
-        merging = self.kind == BPE
-        for i, ch in enumerate(text, 1):
-            while state and ch not in nexts[state]:
-                state = links[state]
-            state = nexts[state].get(ch, 0)
-            s = outs[state]
-            while s:
-                p = ends[s]
-                j = i - len(p)
-                q = last[j]
-                if q is not None:
-                    if merging:
-                        if (not j and self._alone(p)) or (j and self._fit(q, p)):
-                            last[i] = p
-                            break
-                    else:
-                        v = best[j] + self.score[self.ids[p]]
-                        if v > best[i]:
-                            best[i], last[i] = v, p
-                s = outs[links[s]]
-            if last[i] is None and ch not in self.ids:
-                last[i], best[i] = ch, best[i - 1] + self.floor
+        merging, worth, ids, fits, paths = self.kind == BPE, self.worth, self.ids, self.fits.young, self.paths
+        for end, (p, k) in self.automaton.iter(text):
+            i = end + 1
+            if i != at:  # the positions up to here have met all their pieces
+                for m in range(at or 1, i):
+                    if last[m] is None and text[m - 1] not in ids:
+                        last[m], best[m] = text[m - 1], best[m - 1] + self.floor
+                at = i
+            elif merging and last[i] is not None:
+                continue
+            j = i - k
+            q = last[j]
+            if q is None:
+                continue
+            if merging:
+                ok = fits.get((q, p)) if j else (paths.get(p) or self._path(p))[0]
+                if ok is None:
+                    ok = self._fit(q, p)
+                    fits = self.fits.young
+                if ok:
+                    last[i] = p
+            else:
+                v = best[j] + worth[p]
+                if v > best[i]:
+                    best[i], last[i] = v, p
+        for m in range(at or 1, n + 1):
+            if last[m] is None and text[m - 1] not in ids:
+                last[m], best[m] = text[m - 1], best[m - 1] + self.floor
         out, i = [], n
         while i:
             out.append(last[i])
             i -= len(last[i])
         return out[::-1]
 
-    def _alone(self, p: str) -> bool:
-        return len(p) == 1 or self._fit("", p) or self._merged(list(p)) == [p]
-
     def _ids(self, word: str) -> list[int]:
         out: list[int] = []
         for p in self.segment(word):
@@ -220,20 +231,31 @@ class Model:
             return ""
         return (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
 
-    def encode(self, text: str | None) -> list[int]:
-        out: list[int] = []
+    def packed(self, text: str | None) -> bytes:
+        """The ids as native 32-bit integers; words are remembered in this form, which is small and holds no objects."""
+        out: list[bytes] = []
         known = self.known
         for word in self.split(self.normalize(text or "")):
-            ids = known.get(word)
+            ids = known.young.get(word) or known.get(word)
             if ids is None:
-                ids = self._ids(word)
+                ids = array("i", self._ids(word)).tobytes()
                 if len(word) <= LONGEST:
                     known.put(word, ids)
-            out += ids
-        return out
+            out.append(ids)
+        return b"".join(out)
+
+    def encode(self, text: str | None) -> list[int]:
+        return memoryview(self.packed(text)).cast("i").tolist()
 
     def decode(self, ids: list[int]) -> str:
         """The text of the pieces; runs of byte pieces are read as UTF-8, with U+FFFD for each byte that is none."""
+        try:
+            text = "".join(map(self.shown.__getitem__, ids))
+        except TypeError:  # bytes of characters beyond ASCII
+            text = self._with_bytes(ids)
+        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+
+    def _with_bytes(self, ids: list[int]) -> str:
         out: list[str] = []
         run = bytearray()
         for i in [*ids, -1]:
@@ -248,8 +270,7 @@ class Model:
                 out.append(" ⁇ ")
             elif t != CONTROL:
                 out.append(p)
-        text = "".join(out).replace(SPACE, " ")
-        return text[1:] if self.dummy_prefix and text.startswith(" ") else text
+        return "".join(out).replace(SPACE, " ")
 
     @staticmethod
     def _utf8(run: bytes) -> str:
@@ -275,13 +296,15 @@ def encoded(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch in small(batches):
             for i in range(0, batch.num_rows, 200):
                 part = batch.slice(i, 200)
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = [m.encode(t) for t in texts]
-                same = [m.decode(k) == t for k, t in zip(ids, texts, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.list_(pa.int32())), pa.array([len(k) for k in ids], pa.int64()), pa.array(same, pa.bool_())], names=["id", "piece_ids", "n_pieces", "round_trip"])
+                packed = [m.packed(t) for t in texts]
+                n = [len(k) // 4 for k in packed]
+                same = [m.decode(memoryview(k).cast("i").tolist()) == t for k, t in zip(packed, texts, strict=True)]
+                ids = pa.ListArray.from_arrays(pa.array([0, *accumulate(n)], pa.int32()), pa.Array.from_buffers(pa.int32(), sum(n), [None, pa.py_buffer(b"".join(packed))]))
+                yield pa.RecordBatch.from_arrays([part.column("id"), ids.cast(pa.list_(pa.int32())), pa.array(n, pa.int64()), pa.array(same, pa.bool_())], names=["id", "piece_ids", "n_pieces", "round_trip"])
 
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, piece_ids array<int>, n_pieces long, round_trip boolean").withColumnRenamed("id", id_col)
@@ -294,7 +317,7 @@ def decoded(pieces: DataFrame, model: Model, id_col: str = "doc_id", ids_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch in small(batches):
             texts = [None if k is None else m.decode(k) for k in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], names=["id", "text"])
 
@@ -303,19 +326,19 @@ def decoded(pieces: DataFrame, model: Model, id_col: str = "doc_id", ids_col: st
 
 
 def report(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_bytes, n_pieces, ids_sha256 (of the ids, comma-joined), decoded_sha256, round_trip) for every row."""
+    """(id_col, n_bytes, n_pieces, ids_sha256 (of the ids as little-endian 32-bit integers), decoded_sha256, round_trip) for every row."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[], [], [], [], []]
             for t in batch.column("text").to_pylist():
                 t = t or ""
-                ids = m.encode(t)
-                back = m.decode(ids)
-                for column, v in zip(out, (len(t.encode()), len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == t), strict=True):
+                ids = m.packed(t)
+                back = m.decode(memoryview(ids).cast("i").tolist())
+                for column, v in zip(out, (len(t.encode()), len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back.encode()).hexdigest(), back == t), strict=True):
                     column.append(v)
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], names=["id", "n_bytes", "n_pieces", "ids_sha256", "decoded_sha256", "round_trip"])

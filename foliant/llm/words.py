@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 _R = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -99,6 +99,13 @@ class Chunk:
         return out
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that Python objects exist for few rows at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def column_bytes(column: pa.Array) -> list[bytes]:
     """The texts of an Arrow column as UTF-8; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
