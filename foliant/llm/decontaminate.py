@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .words import LETTERS, Chunk, chunks, column_bytes
+from .words import LETTERS, Chunk, chunks, column_bytes, small
 
 WINDOW = 8
 BLOCK_BYTES = 8 << 20
@@ -154,7 +154,7 @@ def _find(index: Index, more: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = pa.array(index.names, pa.string())
-        for batch in batches:
+        for batch in small(batches):
             counts, items, starts, lengths, n_words = [], [], [], [], []
             for c in chunks(column_bytes(batch.column("text")), LETTERS):
                 row, item, start, length = longest(shard_hits(c, index))
@@ -201,7 +201,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         spans = batch.column("spans")
         offsets = spans.offsets.to_numpy().tolist()
         flat = spans.values
@@ -243,7 +243,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, least_items: int = 1, text_col:
 
     def items(index: Index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in small(batches):
                 found = []
                 for c in chunks(column_bytes(batch.column(at)), LETTERS):
                     row, _, item, _, _ = shard_hits(c, index)

@@ -26,6 +26,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from .boosting import Boosted
 from .dom import Node, parse
 from .page_maker import Maker
+from .words import small
 
 PAGES = 1600
 N_FEATURES = 30
@@ -188,7 +189,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html",
     own = rows.schema.fields[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = m.texts(batch.column(len(own)).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*(f.name for f in own), "text", "n_chars"])
 

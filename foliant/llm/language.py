@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import bounded_sample
-from .words import FOLD, column_bytes
+from .words import FOLD, column_bytes, small
 
 PER_LANGUAGE = 800
 BUCKETS = 2048
@@ -139,7 +139,7 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             lang, score, unsure = model.predict(column_bytes(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())], names=["id", "lang_pred", "score", "ambiguous"])
 
@@ -152,7 +152,7 @@ def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> Da
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             lang = model.predict(column_bytes(batch.column(at)))[0]
             yield batch.filter(pa.array([k != "und" for k in lang], pa.bool_()))
 

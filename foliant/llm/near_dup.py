@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .store import Scratch
-from .words import NOT_SPACE, chunks, column_bytes, mix
+from .words import NOT_SPACE, chunks, column_bytes, mix, small
 
 WORDS, BANDS, ROWS, VERIFY, BATCH = 5, 32, 4, 128, 32
 PERCENT, MISS = 75, 1e-4
@@ -124,7 +124,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         n, digests, bands, sigs = [], [], [], []
         for s in shingle_sets(column_bytes(batch.column(1))):
             n.append(len(s))
@@ -147,7 +147,7 @@ def _signatures(column: pa.Array) -> np.ndarray:
 
 
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         if batch.num_rows:
             keep, got = surviving(_signatures(batch.column(2)), _signatures(batch.column(3)))
             keep = pa.array(keep)
@@ -155,7 +155,7 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         left, right = (shingle_sets(column_bytes(batch.column(i))) for i in (2, 3))
         ok = pa.array([linked(a, b) for a, b in zip(left, right, strict=True)], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])

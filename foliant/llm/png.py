@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import small
+
 WIDTH, SAMPLES = 64, 3
 ROW = WIDTH * SAMPLES
 PAD = 32
@@ -154,7 +156,7 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = [t or b"" for t in batch.column("text").to_pylist()]
             images = [encode(padded(t)) for t in texts]
             hashes = [cosine_hash(decode(x)) for x in images]
@@ -175,7 +177,7 @@ def decoded(images: DataFrame, image_col: str = "image") -> DataFrame:
             except ValueError:
                 return None
 
-        for batch in batches:
+        for batch in small(batches):
             payload = pa.array([back(x) for x in batch.column(names.index(image_col)).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, payload], names=[*names, "payload"])
 
@@ -189,7 +191,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             out: list[list] = [[] for _ in range(7)]
             for t in batch.column("text").to_pylist():
                 t = t or b""

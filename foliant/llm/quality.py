@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import bounded_sample
-from .words import NOT_SPACE, Chunk, chunks, column_bytes, mix
+from .words import NOT_SPACE, Chunk, chunks, column_bytes, mix, small
 
 PER_LABEL = 1500
 PASSAGE = 64
@@ -186,7 +186,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(model.scores(column_bytes(batch.column("text"))))], names=["id", "score"])
 
     kind = rows.schema["id"].dataType.simpleString()

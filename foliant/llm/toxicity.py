@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import bounded_sample
-from .words import LETTERS, Chunk, chunks, column_bytes
+from .words import LETTERS, Chunk, chunks, column_bytes, small
 
 PER_LABEL = 3000
 #: A word or beginning takes part if so many documents of the sample have it, and its share of toxic ones is so many standard deviations off.
@@ -131,7 +131,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = column_bytes(batch.column("text"))
             out = {"id": batch.column("id"), "score": pa.array(model.scores(texts))}
             if spans:
@@ -149,7 +149,7 @@ def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7, text_col:
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield batch.filter(pa.array(model.scores(column_bytes(batch.column(at))) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .words import small
+
 STRICT, SOFT, LEAST = 2, 1, 2
 VOCABULARY: dict[str, int] = {
     **dict.fromkeys(("porn", "porno", "xxx", "hentai", "camgirl", "camgirls", "escort", "escorts", "warez", "keygen", "malware", "phishing"), STRICT),
@@ -120,7 +122,7 @@ def judged(pages: DataFrame, rules: Filter | None = None, id_col: str = "page_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        for batch in batches:
+        for batch in small(batches):
             got = list(zip(*map(own.judge, batch.column("url").to_pylist()), strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(v, k) for v, k in zip(got, kinds, strict=True))], names=["id", "host", "path", "rule", "verdict", "n_strict", "n_soft"])
 
