@@ -10,7 +10,7 @@ Rows come as (id, text). A set is the distinct 5-word shingles of the whole lowe
    ``MISS``, the pair is dropped. Survivors are verified on their full sets.
 4. Components of the verified links. Buckets that hold one component only are done. In others, the members outside
    the largest component are held against all members of other components, in blocks, by the same pruning, and the
-   survivors verified, best estimate first, until no pair between two components is left.
+   survivors verified block by block; only links come out.
 
 Copies beyond one and pairs inside a component are thus never spelled out, yet no candidate link between two
 components goes untested. A pair at the threshold meets in no band with a chance of (1 - 0.75^4)^32 = 5e-6.
@@ -28,7 +28,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -168,48 +168,103 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return t.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
 
 
+def _groups(batch: pa.RecordBatch, by: int) -> Iterator[tuple[tuple, int, int]]:
+    """(key, first, last) of each run of rows that agree in the first ``by`` columns."""
+    key = np.stack([batch.column(k).to_numpy() for k in range(by)])
+    cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        yield tuple(key[:, lo].tolist()), lo, hi
+
+
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks come sorted by (key, i, j): the queries (side 0) before the members (side 1) they are held against."""
+    """Blocks come sorted by (main, key, i, j): queries (side 0) before the members (side 1) they are held against.
+
+    Gives for each query and block of members those that survive, in one row.
+    """
     now, ids, comps, sigs = None, np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, VERIFY), np.uint8)
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = np.stack([batch.column(k).to_numpy() for k in range(3)])
-        side, i, c = (batch.column(k).to_numpy() for k in (3, 4, 5))
-        s = _signatures(batch.column(6))
-        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-        found = []
-        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
-            if now != tuple(key[:, lo].tolist()):
-                now, ids, comps, sigs = tuple(key[:, lo].tolist()), i[:0], c[:0], s[:0]
+        side, i, c = (batch.column(k).to_numpy() for k in (4, 5, 6))
+        s = _signatures(batch.column(7))
+        out: tuple[list, ...] = ([], [], [], [])
+        for key, lo, hi in _groups(batch, 4):
+            if now != key:
+                now, ids, comps, sigs = key, i[:0], c[:0], s[:0]
             q = slice(lo, lo + int((side[lo:hi] == 0).sum()))
             ids, comps, sigs = np.concatenate((ids, i[q])), np.concatenate((comps, c[q])), np.concatenate((sigs, s[q]))
             m = slice(q.stop, hi)
             for k in range(len(ids)):
-                # a pair of two queries is met from both sides; the side with the larger id leaves it
-                other = np.flatnonzero(c[m] != comps[k])
-                keep, got = surviving(np.broadcast_to(sigs[k], (len(other), VERIFY)), s[m][other])
-                other = other[keep]
-                found.append((np.full(len(other), ids[k]), i[m][other], np.full(len(other), comps[k]), c[m][other], got))
-        if found:
-            a, b, ca, cb, got = (np.concatenate([f[k] for f in found]) for k in range(5))
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.minimum(ca, cb)), pa.array(np.maximum(ca, cb)), pa.array(got)], names=["a", "b", "ca", "cb", "matches"])
-
-
-def _open_pairs(buckets: DataFrame, reps: DataFrame, comp: DataFrame) -> DataFrame:
-    """Unpruned pairs between different components that share a bucket, none of them a star pair of one component."""
-    x = buckets.join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    by = x.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    per = by.groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
-    # two members are one pair, which the star has tested
-    per = per.where("comps > 1 and all > 2").select("key", "all", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.n")).alias("minor"))
-    x = x.join(per, "key").join(reps.select("id", "sig"), "id")
-    qs, ms = F.ceil(F.col("minor") / BLOCK).cast("int"), F.ceil(F.col("all") / BLOCK).cast("int")
+                # two queries meet from both sides; the lesser id keeps the pair
+                other = np.flatnonzero((c[m] != comps[k]) & ((c[m] == key[0]) | (i[m] > ids[k])))
+                keep, _ = surviving(np.broadcast_to(sigs[k], (len(other), VERIFY)), s[m][other])
+                if len(keep):
+                    for column, v in zip(out, (key[0], key[3], ids[k], i[m][other[keep]]), strict=True):
+                        column.append(v)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.int64()))], names=["main", "j", "id", "partners"])
+
+
+def _verify_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks come sorted by (main, j, chunk): members (side 0) before the queries (side 1) and their partners.
+
+    A query's further partners in a component that it is linked with already need no test.
+    """
+    now, sets, comps = None, {}, {}
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        side, i, c = (batch.column(k).to_numpy() for k in (3, 4, 5))
+        partners = batch.column(7)
+        a, b = [], []
+        for key, lo, hi in _groups(batch, 3):
+            if now != key:
+                now, sets, comps = key, {}, {}
+            for k in range(lo, hi):
+                (own,) = shingle_sets(column_bytes(batch.column(6).slice(k, 1)))
+                if side[k] == 0:
+                    sets[int(i[k])], comps[int(i[k])] = own, int(c[k])
+                    continue
+                done = set()
+                for p in partners[k].as_py():
+                    if p in sets and comps[p] not in done and linked(own, sets[p]):
+                        done.add(comps[p])
+                        a.append(min(p, int(i[k])))
+                        b.append(max(p, int(i[k])))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _cross_links(buckets: DataFrame, reps: DataFrame, comp: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Verified links between different components that share a bucket: every pair is held against each other in
+    blocks, survivors are listed by query and block, and verified where a block's texts are at hand; pairs do not
+    become rows."""
+    x = buckets.where("n > 2").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    x = scratch.table(x)
+    per = x.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
+    per = per.where("comps > 1").select("key", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.n")).alias("minor"))
+    x = scratch.table(x.join(per, "key"))
+    # members are dealt over blocks by the buckets' main component, so that a block is the same in all its buckets
+    dealt = scratch.table(x.groupBy("main", "id", "comp").agg(F.lit(1).alias("one")).drop("one"))
+    size = dealt.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(F.col("comp") != F.col("main")) / (4 * BLOCK)).cast("int").alias("chunks"))
     spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
-    queries = x.where("comp <> main").select("key", spread(qs, 1).alias("i"), F.explode(F.sequence(F.lit(0), ms - 1)).alias("j"), F.lit(0).alias("side"), "id", "comp", "sig")
-    members = x.select("key", F.explode(F.sequence(F.lit(0), qs - 1)).alias("i"), spread(ms, 2).alias("j"), F.lit(1).alias("side"), "id", "comp", "sig")
-    blocks = queries.unionByName(members).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side")
-    return blocks.mapInArrow(_cross, "a long, b long, ca long, cb long, matches long").groupBy("a", "b").agg(F.first("ca").alias("ca"), F.first("cb").alias("cb"), F.first("matches").alias("matches"))
+    y = x.join(size, "main").join(reps.select("id", "sig"), "id")
+    parts = F.ceil(F.col("minor") / BLOCK).cast("int")
+    queries = y.where("comp <> main").select("main", "key", spread(parts, 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), "id", "comp", "sig")
+    members = y.select("main", "key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("i"), spread(F.col("blocks"), 2).alias("j"), F.lit(1).alias("side"), "id", "comp", "sig")
+    blocks = queries.unionByName(members).repartition("key", "i", "j").sortWithinPartitions("main", "key", "i", "j", "side")
+    found = blocks.mapInArrow(_cross, "main long, j int, id long, partners array<long>")
+    found = scratch.table(found.groupBy("main", "j", "id").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners")))
+    if found.isEmpty():
+        return found.select(F.col("id").alias("a"), F.col("id").alias("b"))
+    place = dealt.join(size, "main").select("main", "id", "comp", "chunks", spread(F.col("blocks"), 2).alias("j"))
+    place = place.join(found.select("main", "j").distinct(), ["main", "j"], "left_semi")
+    none = F.lit(None).cast("array<long>")
+    members = place.select("main", "j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "id", "comp", none.alias("partners"))
+    queries = found.join(size, "main").select("main", "j", spread(F.col("chunks"), 3).alias("chunk"), F.lit(1).alias("side"), "id", F.lit(0).cast("long").alias("comp"), "partners")
+    rows = members.unionByName(queries).join(texts, "id").select("main", "j", "chunk", "side", "id", "comp", "text", "partners")
+    rows = rows.repartition("main", "j", "chunk").sortWithinPartitions("main", "j", "chunk", "side")
+    return scratch.table(rows.mapInArrow(_verify_blocks, "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -222,33 +277,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = scratch.table(sk.where("digest is not null").join(classes, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("id", "digest", "bands", "sig"))
     keyed = reps.select("id", F.explode("bands").alias("key"))
     heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    buckets = scratch.table(keyed.join(heads, "key").select("key", "id", "head"))
-    texts = rows.where("id is not null")
-    links = None
+    buckets = scratch.table(keyed.join(heads, "key").select("key", "id", "head", "n"))
     pairs = buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     pairs = pairs.join(reps.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    pairs = scratch.table(pairs.select("a", "b", "sa", "sb").mapInArrow(_prune, "a long, b long, matches long"))
-    reps_text = _texts_of(texts, pairs)
-    links = scratch.table(verified(pairs, reps_text))
+    pairs = scratch.table(pairs.select("a", "b", "sa", "sb").mapInArrow(_prune, "a long, b long, matches long").select("a", "b"))
+    # the texts that verification can ask for are fetched once, by a join that is the same at every size
+    asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(buckets.where("n > 2").select("id")).distinct()
+    texts = scratch.table(rows.where("id is not null").hint("merge").join(asked, "id", "left_semi"))
+    links = scratch.table(verified(pairs, texts))
     comp = components(links, scratch)
-    tested, scratch_pairs = pairs.select("a", "b"), scratch.table(_open_pairs(buckets, reps, comp))
-    # best estimates first: once two components are joined, the rest of the pairs between them need no test
-    for most in (1, 16, None):
-        left = scratch_pairs.join(tested, ["a", "b"], "left_anti")
-        left = left.join(comp.select(F.col("id").alias("a"), F.col("comp").alias("xa")), "a", "left").join(comp.select(F.col("id").alias("b"), F.col("comp").alias("xb")), "b", "left")
-        left = left.withColumns({"ca": F.coalesce("xa", "a"), "cb": F.coalesce("xb", "b")}).where("ca <> cb").withColumns({"lo": F.least("ca", "cb"), "hi": F.greatest("ca", "cb")})
-        if most is not None:
-            best = Window.partitionBy("lo", "hi").orderBy(F.desc("matches"), "a", "b")
-            left = left.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
-        left = scratch.table(left.select("a", "b"))
-        if left.isEmpty():
-            break
-        tested = scratch.table(tested.unionByName(left))
-        new = scratch.table(verified(left, _texts_of(texts, left)))
-        if not new.isEmpty():
-            links = scratch.table(links.unionByName(new))
-            comp = components(links, scratch)
-    scratch.drop(buckets, pairs, scratch_pairs)
+    more = _cross_links(buckets, reps, comp, texts, scratch)
+    if not more.isEmpty():
+        comp = components(links.unionByName(more), scratch)
+    scratch.drop(buckets, pairs, texts)
     of_class = scratch.table(classes.join(comp, "id", "left").select("digest", "n_copies", F.coalesce("comp", "id").alias("comp")))
     out = sk.select("id", "n_shingles", "digest").join(of_class, "digest", "left")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
@@ -263,9 +304,3 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept")).distinct()
     named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col, text_col])
     return named.unionByName(docs.where(F.col(id_col).isNull()))
-
-
-def _texts_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts of the ids in pairs; ids of equal texts appear once, and an id that repeats gives one row."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    return texts.join(ids, "id", "left_semi")
