@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_sample
+from .store import labelled_sample
 from .words import NOT_SPACE, Chunk, chunks, column_bytes, mix, small
 
 PER_LABEL = 1500
@@ -174,10 +174,8 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most: int = PER_LABEL) -> Model:
-    """Fits on at most about ``most`` rows of each label; pass in the rows that may be learned from."""
-    y = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("k"), F.col(label_col).alias("y")).dropDuplicates(["k"])
-    rows = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).join(y, "k")
-    got = bounded_sample(rows, "k", "y", most)
+    """Fits on at most about ``most`` rows of each label; pass in the documents, and the labels, that may be learned from."""
+    got = labelled_sample(docs, labels, id_col, text_col, label_col, most)
     return Model([r.t.encode() for r in got], [int(r.y) for r in got])
 
 

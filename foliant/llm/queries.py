@@ -64,7 +64,7 @@ def op6_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def toxicity_model(spark: SparkSession, sf_dir: str):
     from .toxicity import train
 
-    return train(_table(spark, sf_dir, "documents").where(fold("doc_id", 3) != 1), _table(spark, sf_dir, "labels"))
+    return train(*(_table(spark, sf_dir, t).where(fold("doc_id", 3) != 1) for t in ("documents", "labels")))
 
 
 def op7_ecoc_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ def op8_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score, train
 
     docs = _table(spark, sf_dir, "documents")
-    model = train(docs.where(fold("doc_id", 4) != 2), _table(spark, sf_dir, "labels"))
+    model = train(*(_table(spark, sf_dir, t).where(fold("doc_id", 4) != 2) for t in ("documents", "labels")))
     out = score(docs, model)
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 

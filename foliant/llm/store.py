@@ -56,18 +56,25 @@ def fold(col: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def bounded_sample(df: DataFrame, key: str, strata: str, most: int) -> list:
-    """At most ``most`` rows of each value of ``strata``, chosen by the hash of the key, as driver rows.
-
-    Strata are counted first, so that each is thinned on the executors and only the sample travels.
-    """
-    counts = {r[0]: r[1] for r in df.groupBy(strata).count().collect()}
-    if not counts:
-        return []
+def thinned(df: DataFrame, key: str, strata: str, most: int) -> DataFrame:
+    """About ``most`` rows of each value of ``strata`` at most, chosen by the hash of the key on the executors."""
     keep = F.lit(False)
-    for value, n in counts.items():
+    for value, n in ((r[0], r[1]) for r in df.groupBy(strata).count().collect()):
         rate = min(1.0, most / max(1, n))
         keep = keep | ((F.col(strata) == F.lit(value)) & (key_hash(key) < F.lit(int(rate * (1 << 31)))))
-    rows = df.where(keep).collect()
-    rows.sort(key=lambda r: str(r[key]))
-    return rows
+    return df.where(keep)
+
+
+def bounded_sample(df: DataFrame, key: str, strata: str, most: int) -> list:
+    """``thinned`` as driver rows, in the order of their keys."""
+    return sorted(thinned(df, key, strata, most).collect(), key=lambda r: str(r[key]))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> list:
+    """(k, t, y): about ``most`` texts of each label 0 and 1 at most.
+
+    The labels are thinned first; what is left has a bound, so it is broadcast and no text is shuffled.
+    """
+    y = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["k"])
+    rows = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    return sorted(rows.join(F.broadcast(thinned(y, "k", "y", most)), "k").collect(), key=lambda r: (str(r.k), r.t))
