@@ -46,6 +46,12 @@ class Engine:
     def create_table(self, name: str, columns: list[ColumnSpec], options: dict[str, str] | None = None) -> Table:
         return self.catalog.create(name, columns, options)
 
+    def view(self, name: str, df: DataFrame) -> None:
+        """Lets statements read a DataFrame of ``self.spark`` that is no table of the catalog."""
+        if name in self.catalog.tables:
+            raise ValueError(f"{name!r} is a table")
+        df.createOrReplaceTempView(name)
+
     # -- statements ---------------------------------------------------------------------------------------------------
     def sql(self, statement: str) -> DataFrame:
         """Runs one statement. Commands give one row: (command, count)."""

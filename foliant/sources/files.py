@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -51,3 +52,14 @@ class Files:
     def delete(self, path: str) -> None:
         fs, p = self._at(path)
         fs.delete(p, True)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that driver and executors share: ``spark.checkpoint.dir``, else a local one in local mode or the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        return "file://" + tempfile.mkdtemp(prefix="foliant-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_foliant"
