@@ -41,7 +41,7 @@ def sentences(chunk: Chunk) -> tuple[np.ndarray, np.ndarray]:
 
 class Model:
     def __init__(self, texts: list[bytes], labels: list[int], steps: int = 250):
-        self.vocabulary, self.weights, self.bias = np.empty(0, np.uint64), np.empty(0), -30.0
+        self.vocabulary, self.weights, self.bias = np.empty(0, np.uint64), np.empty(0), -np.inf
         y = np.asarray(labels, float)
         if not len(y) or y.min() == y.max():
             return
