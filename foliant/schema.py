@@ -25,10 +25,11 @@ def merge(a: Type, b: Type) -> Type:
     """The type that holds the values of both; ``variant`` where none but it does."""
     if a == b:
         return a
-    if a in ("null", "unknown"):
-        return b
-    if b in ("null", "unknown"):
-        return a
+    for unseen in ("null", "unknown"):
+        if a == unseen:
+            return b
+        if b == unseen:
+            return a
     if a == "variant" or b == "variant":
         return "variant"
     if isinstance(a, dict) and isinstance(b, dict):

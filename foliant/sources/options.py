@@ -7,6 +7,8 @@ CODECS = ("zstd", "snappy", "lz4_raw", "lz4", "gzip", "brotli", "uncompressed",
 ALIASES = {"dictionary_enabled": "enable_dict", "parquet_dictionary_enabled": "enable_dict", **{f"parquet_{k}": k for k in ("compression", "zstd_level", "gzip_level", "brotli_level", "dictionary_page_size_limit")}}
 LEVELS = {"zstd": (1, 22), "gzip": (0, 9), "brotli": (0, 11)}
 NAMES = ("compression", "zstd_level", "gzip_level", "brotli_level", "enable_dict", "dictionary_page_size_limit")
+#: The file system library's names of the levels 0 to 9.
+ZLIB = "NO_COMPRESSION BEST_SPEED TWO THREE FOUR FIVE SIX SEVEN EIGHT BEST_COMPRESSION".split()
 TRUE, FALSE = ("1", "true", "t", "yes", "y", "on"), ("0", "false", "f", "no", "n", "off")
 
 
@@ -53,5 +55,5 @@ def writer_options(options: dict) -> dict[str, str]:
     if codec == "zstd":
         out["parquet.compression.codec.zstd.level"] = str(o["zstd_level"])
     if codec == "gzip" and "gzip_level" in o:
-        out["zlib.compress.level"] = str(o["gzip_level"])
+        out["zlib.compress.level"] = ZLIB[o["gzip_level"]]
     return out
