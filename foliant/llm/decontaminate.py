@@ -64,23 +64,25 @@ class Index:
         return np.where(self.vocabulary[at] == words, at + 1, 0)
 
 
-def suffix_array(words: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The places sorted by the WINDOW words from there on, by prefix doubling; and the ranks of each doubled length.
+def suffix_array(words: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The places sorted by the WINDOW words from there on, by prefix doubling.
 
-    words ends in at least WINDOW zeros, and a zero word ends whatever stands before it.
+    words ends in at least WINDOW zeros, and a zero word ends whatever stands before it. Ranks are made for all words
+    that a place's window reaches, as the second half of a longer prefix begins at a word that may be no place itself.
     """
     n = len(words)
-    rank, ranks, span = words, [words], 1
-    live = places
+    reach = np.zeros(n + WINDOW, np.int64)
+    np.add.at(reach, places, 1)
+    np.add.at(reach, places + WINDOW, -1)
+    live = np.flatnonzero((np.cumsum(reach)[:n] > 0) & (words > 0))
+    rank, span = words, 1
     while span < WINDOW:
-        nxt = np.minimum(live + span, n - 1)
-        both = rank[live] * (int(rank.max(initial=0)) + 1) + rank[nxt]
+        both = rank[live] * (int(rank.max(initial=0)) + 1) + rank[np.minimum(live + span, n - 1)]
         _, dense = np.unique(both, return_inverse=True)
         rank = np.zeros(n, np.int64)
         rank[live] = dense + 1
-        ranks.append(rank)
         span *= 2
-    return live[np.argsort(rank[live], kind="stable")], ranks
+    return places[np.argsort(rank[places], kind="stable")]
 
 
 def search(words: np.ndarray, array: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -120,7 +122,7 @@ def shard_hits(chunk: Chunk, index: Index) -> tuple[np.ndarray, ...]:
     places = at[can]
     if not len(places):
         return none
-    array, _ = suffix_array(words, places)
+    array = suffix_array(words, places)
     found: list[tuple[np.ndarray, ...]] = []
     for m, queries, item, place in index.tests:
         lo, hi = search(words, array, queries)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from compare import check
 
 from foliant.llm import decontaminate, queries
@@ -65,6 +66,36 @@ def test_against_brute_force(spark, monkeypatch):
         assert sorted(r.doc_id for r in decontaminate.clean(d, b).collect()) == sorted(k for k, v in want.items() if not v[2])
 
 
+def test_long_items_only(spark):
+    """No window is shorter than 8, so most words of the documents are no places of the suffix array."""
+    r = random.Random(11)
+    v = [f"w{k}" for k in range(12)]
+    items = [(k, " ".join(r.choice(v) for _ in range(r.randrange(8, 40)))) for k in range(40)]
+    docs = []
+    for k in range(200):
+        w = [r.choice([*v, "zz", "yy"]) for _ in range(r.randrange(600))]
+        if k % 3 == 0:
+            part = words(r.choice(items)[1])
+            at, first = r.randrange(len(w) + 1), r.randrange(len(part) - 7)
+            w[at:at] = part[first : first + r.randrange(7, 12)]
+        docs.append((k, " ".join(w)))
+    want = brute(docs, items)
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items) for r in decontaminate.report(run(spark, docs, items)[0]).collect()}
+    assert got == {k: (n, h, len(i)) for k, (n, h, i) in want.items()}
+
+
+def test_suffix_array_is_sorted():
+    rng = np.random.default_rng(5)
+    words_ = np.concatenate((rng.integers(0, 4, 3000), np.zeros(decontaminate.WINDOW, np.int64)))
+    places = np.flatnonzero((words_[:-8] > 0) & (rng.random(3000) < 0.4))
+    order = decontaminate.suffix_array(words_, places)
+    keys = []
+    for p in order.tolist():
+        window = words_[p : p + 8].tolist()
+        keys.append(window[: window.index(0)] if 0 in window else window)
+    assert keys == sorted(keys) and sorted(order.tolist()) == places.tolist()
+
+
 def test_longest_match(spark):
     item = " ".join(f"t{k}" for k in range(40))
     text = "a b c " + " ".join(f"t{k}" for k in range(5, 30)) + " d e"
