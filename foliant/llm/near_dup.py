@@ -1,6 +1,6 @@
 """MinHash near-duplicates: banded candidates, sequential Bayesian pruning of signatures, exact verification.
 
-Rows come as (id, text). A set is the distinct 5-word shingles of the whole lower-cased text. Steps:
+Rows come as (id, text), ids as integers; rows that share an id are one document. A set is the distinct 5-word shingles of the whole lower-cased text. Steps:
 
 1. ``sketch``: for each row the set's size, a digest of the set, 32 band keys of 4 MinHash values each, and a
    signature of 128 further one-byte MinHash values (independent of the bands, so that a pair's meeting in a band
@@ -291,6 +291,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         comp = components(links.unionByName(more), scratch)
     scratch.drop(buckets, pairs, texts)
     of_class = scratch.table(classes.join(comp, "id", "left").select("digest", "n_copies", F.coalesce("comp", "id").alias("comp")))
+    scratch.drop(classes, reps, links)
     out = sk.select("id", "n_shingles", "digest").join(of_class, "digest", "left")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
@@ -301,6 +302,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Rows of null id belong to no group and stay.
     """
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col, text_col])
+    name = "_kept"
+    while name in docs.columns:
+        name += "_"
+    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias(name)).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col(name), "left_semi").dropDuplicates([id_col, text_col])
     return named.unionByName(docs.where(F.col(id_col).isNull()))

@@ -167,8 +167,11 @@ def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 
 def decoded(images: DataFrame, image_col: str = "image") -> DataFrame:
-    """All columns of images and ``payload``: the samples read back from image_col; null where the image is damaged."""
-    names = images.columns
+    """All columns of images and ``payload`` (with ``_`` added while that name is taken): the samples read back from
+    image_col; null where the image is damaged."""
+    names, own = images.columns, "payload"
+    while own in names:
+        own += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def back(x):
@@ -179,11 +182,11 @@ def decoded(images: DataFrame, image_col: str = "image") -> DataFrame:
 
         for batch in small(batches):
             payload = pa.array([back(x) for x in batch.column(names.index(image_col)).to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns, payload], names=[*names, "payload"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, payload], names=[*names, own])
 
     from pyspark.sql.types import BinaryType, StructField, StructType
 
-    return images.mapInArrow(run, StructType([*images.schema.fields, StructField("payload", BinaryType())]))
+    return images.mapInArrow(run, StructType([*images.schema.fields, StructField(own, BinaryType())]))
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

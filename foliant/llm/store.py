@@ -9,17 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; where it is unset, a local folder in local mode, else the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
-        found = "file://" + tempfile.mkdtemp(prefix="foliant-")
-    else:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_foliant"
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        if app not in _own:
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="foliant-")
+        return _own[app]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_foliant"
 
 
 class Scratch:
@@ -73,8 +76,8 @@ def bounded_sample(df: DataFrame, key: str, strata: str, most: int) -> list:
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> list:
     """(k, t, y): about ``most`` texts of each label 0 and 1 at most.
 
-    The labels are thinned first; what is left has a bound, so it is broadcast and no text is shuffled.
+    Of labels that repeat the larger counts. The labels are thinned first; what is left has a bound, so it is broadcast and no text is shuffled.
     """
-    y = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).dropDuplicates(["k"])
+    y = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).groupBy("k").agg(F.max("y").alias("y"))
     rows = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     return sorted(rows.join(F.broadcast(thinned(y, "k", "y", most)), "k").collect(), key=lambda r: (str(r.k), r.t))
