@@ -242,7 +242,7 @@ def _cross_links(buckets: DataFrame, reps: DataFrame, comp: DataFrame, texts: Da
     x = buckets.where("n > 2").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     x = scratch.table(x)
     per = x.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
-    per = per.where("comps > 1").select("key", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.n")).alias("minor"))
+    per = scratch.table(per.where("comps > 1").select("key", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.n")).alias("minor")))
     x = scratch.table(x.join(per, "key"))
     # members are dealt over blocks by the buckets' main component, so that a block is the same in all its buckets
     dealt = scratch.table(x.groupBy("main", "id", "comp").agg(F.lit(1).alias("one")).drop("one"))
@@ -276,7 +276,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = scratch.table(sk.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("n_copies")))
     reps = scratch.table(sk.where("digest is not null").join(classes, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("id", "digest", "bands", "sig"))
     keyed = reps.select("id", F.explode("bands").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
+    # a written table, so that the join deals out both sides and adaptive execution can split a large bucket
+    heads = scratch.table(keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1"))
     buckets = scratch.table(keyed.join(heads, "key").select("key", "id", "head", "n"))
     pairs = buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     pairs = pairs.join(reps.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
