@@ -32,6 +32,7 @@ class Engine:
         self.catalog = Catalog(self.spark, base)
         self.json_types, self.cache = tuple(t.upper() for t in json_types), cache
         self._views: dict[str, tuple[int, DataFrame, dict]] = {}
+        self._seen: dict[str, set[str]] = {}  # names of views and of their columns
 
     # -- tables -------------------------------------------------------------------------------------------------------
     def table(self, name: str) -> Table:
@@ -51,6 +52,7 @@ class Engine:
         if name in self.catalog.tables:
             raise ValueError(f"{name!r} is a table")
         df.createOrReplaceTempView(name)
+        self._seen[name] = {name, *df.columns}
 
     # -- statements ---------------------------------------------------------------------------------------------------
     def sql(self, statement: str) -> DataFrame:
@@ -121,12 +123,12 @@ class Engine:
 
     def _query(self, statement: str) -> DataFrame:
         schemas = self._views_of(statement)
-        df = self.spark.sql(rewrite(statement.strip().rstrip(";"), schemas))
-        return self._rendered(df, schemas)
+        names = {c.name for t in schemas for c in self.catalog.tables[t].columns} | set(self.catalog.tables)
+        text, derived = rewrite(statement.strip().rstrip(";"), schemas, names.union(*self._seen.values()))
+        return self._rendered(self.spark.sql(text), {c: t for c, (t, is_text) in derived.items() if not is_text} | {c: t for s in schemas.values() for c, t in s.items()})
 
-    def _rendered(self, df: DataFrame, schemas: dict) -> DataFrame:
+    def _rendered(self, df: DataFrame, types: dict) -> DataFrame:
         """JSON columns that come out whole, as by ``SELECT *``, are shown as text."""
-        types = {c: t for s in schemas.values() for c, t in s.items()}
         if not any(f.name in types and isinstance(f.dataType, (StructType, VariantType)) for f in df.schema.fields):
             return df
         out = []

@@ -89,6 +89,10 @@ _SQL: dict[str, tuple[tuple[str, ...], str, str | None]] = {
     "j_explode": (("oj",), "SELECT o_orderkey, x.l.part AS part, x.l.qty AS qty FROM oj LATERAL VIEW explode(doc.lines) x AS l WHERE x.l.n = 1", "SELECT o_orderkey, l_partkey AS part, l_quantity::BIGINT AS qty FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1"),
     "j_subquery": (("ev",), "SELECT event_id FROM ev WHERE props.k::bigint > (SELECT avg(props.k) FROM ev) AND event_type IN (SELECT event_type FROM ev WHERE props.k = 5)", "SELECT event_id FROM events WHERE json_extract(props, '$.k')::BIGINT > (SELECT avg(json_extract(props, '$.k')::BIGINT) FROM events) AND event_type IN (SELECT event_type FROM events WHERE json_extract(props, '$.k')::BIGINT = 5)"),
     "j_distinct_union": (("ev", "mixed"), "SELECT DISTINCT props.k AS v FROM ev UNION SELECT d.e.f AS v FROM mixed", "SELECT DISTINCT json_extract(props, '$.k')::VARCHAR AS v FROM events UNION SELECT CASE WHEN event_id % 3 = 2 THEN (event_id % 2 = 0)::VARCHAR END FROM events"),
+    "j_derived_tables": (("oj",), "WITH big AS (SELECT o_orderkey, doc FROM oj) SELECT d.doc.customer.segment AS seg, count(*) AS n FROM (SELECT doc FROM big WHERE doc.status = 'O') d GROUP BY d.doc.customer.segment", "SELECT '\"' || c_mktsegment || '\"' AS seg, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderstatus = 'O' GROUP BY 1"),
+    "j_ilike_is_true": (("mixed",), "SELECT id FROM mixed WHERE d.b ILIKE 'C%' OR d.e.f IS TRUE", "SELECT event_id AS id FROM events WHERE (event_id % 3 = 0 AND event_type ILIKE 'c%') OR (event_id % 3 = 2 AND event_id % 2 = 0)"),
+    "j_distinct_document": (("ev",), "SELECT DISTINCT props FROM ev", "SELECT DISTINCT '{\"k\":' || json_extract_string(props, '$.k') || '}' AS props FROM events"),
+    "j_cube_paths": (("oj",), "SELECT doc.status AS st, doc.customer.segment AS seg, count(*) AS n FROM oj GROUP BY CUBE (doc.status, doc.customer.segment)", "SELECT '\"' || o_orderstatus || '\"' AS st, '\"' || c_mktsegment || '\"' AS seg, count(*) AS n FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY CUBE (1, 2)"),
     # relational operators
     "scan_filter": ((), "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_discount > 0.05 AND l_returnflag = 'R'", None),
     "values": ((), "SELECT * FROM (VALUES (1, 'a'), (2, NULL)) AS t(x, y)", None),
@@ -127,6 +131,14 @@ _SQL: dict[str, tuple[tuple[str, ...], str, str | None]] = {
     "f_hash": ((), "SELECT c_custkey, md5(c_name) AS m, sha2(c_name, 256) AS s, hex(c_mktsegment) AS h, base64(CAST(c_mktsegment AS BINARY)) AS b FROM customer", "SELECT c_custkey, md5(c_name) AS m, sha256(c_name) AS s, hex(c_mktsegment) AS h, base64(c_mktsegment::BLOB) AS b FROM customer"),
     "f_aggregates": ((), "SELECT o_orderstatus, count(*) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi, round(stddev_samp(o_totalprice), 4) AS sd, round(corr(o_totalprice, o_custkey), 6) AS c, bool_or(o_totalprice > 400000) AS b, CAST(bit_xor(o_orderkey) AS BIGINT) AS x, median(o_custkey) AS md FROM orders GROUP BY o_orderstatus", None),
     "f_string_agg": ((), "SELECT n_regionkey, listagg(n_name, ',') WITHIN GROUP (ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey", "SELECT n_regionkey, string_agg(n_name, ',' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey"),
+    "f_string_more": ((), "SELECT c_custkey, ltrim(concat(' ', c_name)) AS lt, rtrim(concat(c_name, ' ')) AS rt, rpad(c_mktsegment, 12, '*') AS rp, repeat(c_mktsegment, 2) AS rep, concat_ws('/', c_name, NULL, c_mktsegment) AS ws, instr(c_name, '#') AS i, startswith(c_name, 'Cust') AS sw, endswith(c_name, '1') AS ew, contains(c_mktsegment, 'L') AS ct, left(c_name, 4) AS l4, right(c_name, 4) AS r4, ascii(c_name) AS a FROM customer", "SELECT c_custkey, ltrim(' ' || c_name) AS lt, rtrim(c_name || ' ') AS rt, rpad(c_mktsegment, 12, '*') AS rp, repeat(c_mktsegment, 2) AS rep, concat_ws('/', c_name, NULL, c_mktsegment) AS ws, instr(c_name, '#')::INT AS i, starts_with(c_name, 'Cust') AS sw, ends_with(c_name, '1') AS ew, contains(c_mktsegment, 'L') AS ct, left(c_name, 4) AS l4, right(c_name, 4) AS r4, ascii(c_name)::INT AS a FROM customer"),
+    "f_regex_more": ((), "SELECT p_partkey, array_join(regexp_extract_all(p_name, '([aeiou])', 1), '') AS v, CAST(regexp_count(p_name, '[aeiou]') AS BIGINT) AS n, p_type RLIKE '^[A-Z]' AS k FROM part", "SELECT p_partkey, array_to_string(regexp_extract_all(p_name, '([aeiou])', 1), '') AS v, len(regexp_extract_all(p_name, '[aeiou]')) AS n, regexp_matches(p_type, '^[A-Z]') AS k FROM part"),
+    "f_math_more": ((), "SELECT p_partkey, round(sin(p_size), 6) AS s, round(cos(p_size), 6) AS c, round(tan(p_size), 4) AS t, round(atan2(p_size, 3), 6) AS a2, round(exp(p_size / 10.0), 4) AS e, round(ln(p_size), 6) AS l, round(log10(p_size), 6) AS l10, round(log2(p_size), 6) AS l2, round(pow(p_size, 1.5), 4) AS p, round(cbrt(p_size), 6) AS cb, round(degrees(p_size), 4) AS d, round(radians(p_size), 6) AS r, round(p_retailprice / 3, 2) AS rd FROM part", "SELECT p_partkey, round(sin(p_size), 6) AS s, round(cos(p_size), 6) AS c, round(tan(p_size), 4) AS t, round(atan2(p_size, 3), 6) AS a2, round(exp(p_size / 10.0), 4) AS e, round(ln(p_size), 6) AS l, round(log10(p_size), 6) AS l10, round(log2(p_size), 6) AS l2, round(pow(p_size, 1.5), 4) AS p, round(cbrt(p_size), 6) AS cb, round(degrees(p_size), 4) AS d, round(radians(p_size), 6) AS r, round(p_retailprice / 3, 2) AS rd FROM part"),
+    "f_datetime_more": ((), "SELECT event_id, CAST(CAST(date_trunc('hour', ts) AS TIMESTAMP) AS STRING) AS h, CAST(hour(ts) AS BIGINT) AS hr, CAST(dayofyear(ts) AS BIGINT) AS dy, CAST(quarter(ts) AS BIGINT) AS q, CAST(last_day(CAST(ts AS DATE)) AS STRING) AS ld, CAST(make_date(year(ts), month(ts), 1) AS STRING) AS md, date_format(ts, 'yyyy-MM') AS f FROM events", "SELECT event_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS h, hour(ts) AS hr, dayofyear(ts) AS dy, quarter(ts) AS q, last_day(ts::DATE)::VARCHAR AS ld, make_date(year(ts), month(ts), 1)::VARCHAR AS md, strftime(ts, '%Y-%m') AS f FROM events"),
+    "f_array_more": ((), "SELECT n_nationkey, array_join(array_sort(array_distinct(array(n_regionkey, 3, n_regionkey, 1))), ',') AS d, array_max(array(n_regionkey, 2)) AS mx, array_min(array(n_regionkey, 2)) AS mn, CAST(array_position(array(9, n_regionkey), n_regionkey) AS BIGINT) AS p, array_join(slice(array(n_nationkey, 5, 6, 7), 2, 2), ',') AS sl, size(flatten(array(array(1, 2), array(n_nationkey)))) AS fl, array_join(filter(sequence(1, 6), x -> x % 2 = 0), ',') AS ev, array_join(array_except(array(1, 2, 9), array(2)), ',') AS ex, array_join(array_intersect(array(1, 2), array(2)), ',') AS ins FROM nation", "SELECT n_nationkey, array_to_string(list_sort(list_distinct([n_regionkey, 3, n_regionkey, 1])), ',') AS d, greatest(n_regionkey, 2) AS mx, least(n_regionkey, 2) AS mn, list_position([9, n_regionkey], n_regionkey)::BIGINT AS p, '5,6' AS sl, 3 AS fl, '2,4,6' AS ev, '1,9' AS ex, '2' AS ins FROM nation"),
+    "f_aggregates_more": ((), "SELECT o_orderstatus, CAST(count(DISTINCT o_orderpriority) AS BIGINT) AS d, bool_and(o_totalprice > 0) AS ba, CAST(bit_and(o_custkey) AS BIGINT) AS bn, CAST(bit_or(o_custkey) AS BIGINT) AS bo, round(var_pop(o_totalprice), 0) AS vp, round(covar_pop(o_totalprice / 1000, o_custkey), 3) AS cp, array_join(sort_array(collect_set(o_orderpriority)), ',') AS cs, max_by(o_orderkey, o_totalprice) AS mb, count_if(o_totalprice > 100000) AS ci FROM orders GROUP BY o_orderstatus", "SELECT o_orderstatus, count(DISTINCT o_orderpriority) AS d, bool_and(o_totalprice > 0) AS ba, bit_and(o_custkey) AS bn, bit_or(o_custkey) AS bo, round(var_pop(o_totalprice), 0) AS vp, round(covar_pop(o_totalprice / 1000, o_custkey), 3) AS cp, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS cs, arg_max(o_orderkey, o_totalprice) AS mb, count(*) FILTER (WHERE o_totalprice > 100000) AS ci FROM orders GROUP BY o_orderstatus"),
+    "f_window_more": ((), "SELECT o_orderkey, percent_rank() OVER w AS pr, cume_dist() OVER w AS cd, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS lv, nth_value(o_orderkey, 2) OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS nv FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey)", None),
+    "f_encoding": ((), "SELECT n_nationkey, CAST(unhex(hex(n_name)) AS STRING) AS u, CAST(unbase64(base64(CAST(n_name AS BINARY))) AS STRING) AS b, sha1(n_name) AS s1, bit_length(n_name) AS bl FROM nation", "SELECT n_nationkey, n_name AS u, n_name AS b, sha1(n_name) AS s1, bit_length(n_name)::INT AS bl FROM nation"),
     # reports over the star schema
     "q1_pricing": ((), "SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(12,2))) AS DOUBLE) AS sum_qty, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE) AS sum_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00' GROUP BY l_returnflag, l_linestatus", None),
     "q3_shipping": ((), "SELECT o_orderkey, CAST(sum(CAST(l_extendedprice AS DECIMAL(12,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))) AS DOUBLE) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_mktsegment = 'BUILDING' GROUP BY o_orderkey ORDER BY revenue DESC, o_orderkey LIMIT 10", None),

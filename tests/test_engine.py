@@ -72,6 +72,35 @@ def test_variant(engine):
     assert rows(engine.sql("SELECT id FROM v WHERE data.value = 'two'")) == [(2,)]
 
 
+SCOPES = [
+    ("SELECT data FROM (SELECT data FROM users) s WHERE s.data.age = 40", ['{"age":40,"name":"Bob","tags":["y"]}']),
+    ("SELECT * FROM (SELECT data AS d FROM users) s WHERE d.age = 40", ['{"age":40,"name":"Bob","tags":["y"]}']),
+    ("SELECT s.data.name AS n FROM (SELECT * FROM users) s WHERE data.age > 39", ['"Bob"']),
+    ("SELECT data.name AS n FROM (SELECT DISTINCT data FROM users) s WHERE data.age > 39", ['"Bob"']),
+    ("WITH a AS (SELECT id, data FROM users), b AS (SELECT data.age AS age, data FROM a) SELECT b.data.age + 1 AS n FROM b WHERE data.name = 'Bob'", [41]),
+    ("SELECT data.name AS n FROM users WHERE id = 1 UNION ALL SELECT data.name FROM users WHERE id = 1", ['"Ada"', '"Ada"']),
+    ("SELECT id FROM users WHERE data.name IN (SELECT j.name FROM other)", [1]),
+    ("SELECT id FROM users WHERE data.name IN (SELECT note FROM other)", [2]),
+    ("SELECT id FROM users u WHERE EXISTS (SELECT 1 FROM other o WHERE o.j.name = u.data.name)", [1]),
+    ("SELECT t.id FROM (SELECT id, data FROM users) t JOIN (SELECT k, j FROM other) o ON t.data.age = o.k WHERE o.j.name = 'Ada'", [1]),
+    ("SELECT U.ID FROM Users U WHERE U.DATA.name = 'Ada'", [1]),
+    ("SELECT DATA.NAME AS n FROM users WHERE id = 1", [None]),
+    ("SELECT CAST(data.age AS TEXT) AS a FROM users WHERE id = 1", ["39"]),
+    ("SELECT data.age::double precision AS a FROM users WHERE id = 1", [39.0]),
+    ("SELECT CAST(id AS VARCHAR) AS a FROM users WHERE id = 1", ["1"]),
+    ("SELECT data.tags[1] AS t FROM users WHERE id = 1", ["y"]),
+]
+
+
+def test_scopes_names_and_types(engine):
+    engine.sql("CREATE TABLE users (id INT, data JSON)")
+    engine.sql("""INSERT INTO users VALUES (1, '{"name":"Ada","age":39,"tags":["x","y"]}'), (2, '{"name":"Bob","age":40,"tags":["y"]}')""")
+    engine.sql("CREATE TABLE other (k INT, j JSON, note TEXT)")
+    engine.sql("""INSERT INTO other VALUES (39, '{"name":"Ada"}', 'Bob'), (40, '{"name":"Zed"}', 'Zoe')""")
+    for statement, want in SCOPES:
+        assert [r[0] for r in rows(engine.sql(statement))] == want, statement
+
+
 def test_keys_by_case_and_odd_keys(engine):
     engine.sql("CREATE TABLE k (data JSON)")
     engine.sql("""INSERT INTO k VALUES ('{"a":1,"A":2,"$type":"t","x y":{"ö":3},"a":4}')""")
