@@ -23,9 +23,39 @@ from pyspark.sql import functions as F
 from .words import small
 
 STRICT, SOFT, LEAST = 2, 1, 2
+#: Words that say by themselves what a page sells.
+_STRICT = """
+    porn porno pornos pornography pornhub xxx xxxx hentai camgirl camgirls camsex sexcam sexcams sexchat milf milfs gangbang blowjob creampie nudes upskirt
+    escort escorts callgirl callgirls onlyfans sportsbook sportsbooks sportsbetting bookmaker bookmakers bookies freebet freebets freespins
+    adserver adservers adclick adclicks adtracker popunder popunders popads clickfraud malvertising
+    viagra cialis levitra warez keygen keygens malware phishing linkfarm linkfarms spambot spambots spamdexing
+"""
+#: Words that honest pages have too; two different ones of them tell.
+_SOFT = """
+    adult adults sex sexy nude erotic erotica fetish webcam webcams hookup hookups dating
+    casino casinos poker betting bet bets gambling slots jackpot roulette blackjack baccarat lottery lotto
+    ad ads advert adverts advertising banner banners promo affiliate affiliates popup popups clickbait adtech
+    pills pharmacy steroids tramadol phentermine torrent torrents crack hack
+    free freebie freebies bonus loan loans payday cheap cheapest discount discounts coupon coupons
+    spam spammy spammer spammers backlink backlinks
+"""
+#: (first words, second words): strict as a pair, joined by ``-`` or ``_`` or nothing, where neither word tells alone.
+_PAIRS = (
+    ("adult", "x xx xxx video videos movie movies film films cam cams chat pics photos stories toys shop site sites content only fun friend friends"),
+    ("adults", "only"),
+    ("x", "rated"),
+    ("casino casinos poker bet bets betting slots lottery jackpot", "online win wins winner winners"),
+    ("online", "casino casinos gambling betting poker slots pharmacy"),
+    ("ad ads click clicks", "track tracker trackers tracking server servers"),
+    ("tracking", "pixel pixels"),
+    ("spam link content click", "farm farms"),
+    ("spam", "bot bots link links site sites blog blogs network"),
+    ("payday", "loan loans"),
+)
 VOCABULARY: dict[str, int] = {
-    **dict.fromkeys(("porn", "porno", "xxx", "hentai", "camgirl", "camgirls", "escort", "escorts", "warez", "keygen", "malware", "phishing"), STRICT),
-    **dict.fromkeys(("adult", "sex", "sexy", "nude", "nudes", "dating", "casino", "poker", "betting", "gambling", "viagra", "pills", "torrent", "crack", "hack", "free", "bonus", "loan", "loans", "cheap", "spam"), SOFT),
+    **dict.fromkeys(_SOFT.split(), SOFT),
+    **dict.fromkeys(_STRICT.split(), STRICT),
+    **{a + joint + b: STRICT for first, second in _PAIRS for a in first.split() for b in second.split() for joint in ("-", "_", "")},
 }
 #: (host, path): verdict
 RULES: dict[tuple[str, str], str] = {

@@ -96,6 +96,17 @@ def test_urls(url, want):
     assert url_filter.Filter().judge(url)[:4] == want
 
 
+@pytest.mark.parametrize(
+    ("url", "want"),
+    [
+        *((f"http://{host}.example.org/fr/{k}?page=2&ref=x", "block") for k, host in enumerate(("m.adult-x", "ads-track", "blog.casino-win", "spam-farm", "m.free-bets", "cheap-pills", "viagra", "online-casino", "adserver", "x-rated"))),
+        *((f"http://x.org/{path}?ref=x", "allow") for path in ("adult-education", "free-software", "anti-spam", "best-bets", "dairy-farm", "track-and-field-win", "bonus-track", "classified-ads", "casino-royale", "free-range-farm")),
+    ],
+)
+def test_plain_junk_is_blocked_and_like_words_are_not(url, want):
+    assert url_filter.Filter().judge(url)[2:4] == (None, want)
+
+
 def test_urls_match_sql(spark, tmp_path):
     check(spark, queries.QUERIES["op3_url_filter"], queries.ORACLE_SQL["op3_url_filter"])
     r = random.Random(9)
