@@ -7,13 +7,14 @@ Rows come as (id, text), ids as integers; rows that share an id are one document
    does not bias its estimate). Rows of equal digest form a class, whose least id stands for it from here on.
 2. Star candidates: in each bucket every member is paired with the bucket's least id only, never all with all.
 3. Pairs are pruned batch by batch: once the posterior chance of a similarity at or over the threshold falls below
-   ``MISS``, the pair is dropped. Survivors are verified on their full sets.
+   ``MISS``, the pair is dropped. ``MISS`` holds for each of the four looks; over all of them a pair at exactly the
+   threshold is dropped with a chance of 4.6e-6 (``total_miss``). Survivors are verified on their full sets.
 4. Components of the verified links. Buckets that hold one component only are done. In others, the members outside
    the largest component are held against all members of other components, in blocks, by the same pruning, and the
    survivors verified block by block; only links come out.
 
 Copies beyond one and pairs inside a component are thus never spelled out, yet no candidate link between two
-components goes untested. A pair at the threshold meets in no band with a chance of (1 - 0.75^4)^32 = 5e-6.
+components goes untested. A pair at the threshold meets in no band with a chance of (1 - 0.75^4)^32 = 5.2e-6.
 
 Null ids: the row is kept with n_shingles and a null component, kept false. Null, empty or wordless texts: an empty
 set, linked with nothing. Repeated rows: one class. An empty table gives an empty result. Columns other than id and
@@ -36,7 +37,7 @@ from .store import Scratch
 from .words import NOT_SPACE, chunks, column_bytes, mix, small
 
 WORDS, BANDS, ROWS, VERIFY, BATCH = 5, 32, 4, 128, 32
-PERCENT, MISS = 75, 1e-4
+PERCENT, MISS = 75, 1e-6
 #: Members of a bucket that one block holds against another block.
 BLOCK = 256
 
@@ -104,6 +105,17 @@ def least_matches(miss: float = MISS, threshold: float = PERCENT / 100) -> np.nd
 LEAST = least_matches()
 
 
+def total_miss(least: np.ndarray = LEAST, similarity: float = PERCENT / 100) -> float:
+    """P(a pair of this similarity is dropped at any look), from the distribution of its matches so far."""
+    look = np.array([comb(BATCH, k) * similarity**k * (1 - similarity) ** (BATCH - k) for k in range(BATCH + 1)])
+    got, lost = np.ones(1), 0.0
+    for m in least:
+        got = np.convolve(got, look)
+        lost += got[:m].sum()
+        got[:m] = 0
+    return float(lost)
+
+
 def surviving(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Indexes of the rows whose signatures, compared batch by batch, are never pruned, and their matches."""
     alive = np.arange(len(left))

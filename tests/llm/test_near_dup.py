@@ -1,4 +1,5 @@
 import random
+from math import comb
 
 import numpy as np
 import pytest
@@ -94,6 +95,20 @@ def test_pruning_rule():
     assert len(near_dup.surviving(left, rng.integers(0, 256, (2000, 128), dtype=np.uint8))[0]) == 0
 
 
+def test_pruning_loses_no_more_than_the_bands():
+    lost, at_bands = 0.0, (1 - 0.75**near_dup.ROWS) ** near_dup.BANDS
+    state = {0: 1.0}  # chance of each number of matches of a pair at 0.75 that is still alive
+    for least in near_dup.LEAST:
+        after = {}
+        for m, p in state.items():
+            for k in range(near_dup.BATCH + 1):
+                after[m + k] = after.get(m + k, 0.0) + p * comb(near_dup.BATCH, k) * 0.75**k * 0.25 ** (near_dup.BATCH - k)
+        lost += sum(p for m, p in after.items() if m < least)
+        state = {m: p for m, p in after.items() if m >= least}
+    assert lost <= 5e-6 and at_bands <= 5.2e-6
+    assert abs(near_dup.total_miss() - lost) < 1e-12
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 360)]
