@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .store import labelled_sample
 from .words import LETTERS, Chunk, chunks, column_bytes, small
 
-PER_LABEL = 1500
+PER_LABEL = 3000
 #: A word or beginning takes part if so many documents of the sample have it, and its share of toxic ones is so many standard deviations off.
 LEAST_DOCUMENTS, LEAST_DEVIATION = 4, 4.0
 PREFIXES = (4, 5, 6, 7, 8)

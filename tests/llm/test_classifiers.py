@@ -117,3 +117,12 @@ def test_gradients():
         down = loss()
         m.parts[k][at] += 1e-5
         assert g[at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-6)
+
+
+def test_toxicity_learns_a_rare_word(spark):
+    """A word of 18 in 3,000 toxic documents, which half the sample would leave below LEAST_DEVIATION."""
+    rows = [(k, "clean here." if k % 2 else "zorgle here." if k % 334 == 0 else "vile here.", 1 - k % 2) for k in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    zorgle, vile, clean = model.scores([b"zorgle here.", b"vile here.", b"clean here."])
+    assert zorgle > 0.95 and vile > 0.7 and clean < 0.3
