@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType, VariantType
@@ -12,7 +13,7 @@ from .plans.rewrite import rewrite
 from .plans.tokens import tokens
 from .sources.catalog import Catalog
 from .sources.table import ColumnSpec, Table
-from .schema import quoted
+from .schema import quoted, type_of
 
 #: Settings that JSON keys need: keys differ by case, and the last of repeated keys counts.
 SETTINGS = {"spark.sql.caseSensitive": "true", "spark.sql.variant.allowDuplicateKeys": "true"}
@@ -32,7 +33,7 @@ class Engine:
         self.catalog = Catalog(self.spark, base)
         self.json_types, self.cache = tuple(t.upper() for t in json_types), cache
         self._views: dict[str, tuple[int, DataFrame, dict]] = {}
-        self._seen: dict[str, set[str]] = {}  # names of views and of their columns
+        self._seen: dict[str, dict[str, str]] = {}  # views and the types of their columns
 
     # -- tables -------------------------------------------------------------------------------------------------------
     def table(self, name: str) -> Table:
@@ -52,7 +53,7 @@ class Engine:
         if name in self.catalog.tables:
             raise ValueError(f"{name!r} is a table")
         df.createOrReplaceTempView(name)
-        self._seen[name] = {name, *df.columns}
+        self._seen[name] = {f.name: f.dataType.simpleString() for f in df.schema.fields}
 
     # -- statements ---------------------------------------------------------------------------------------------------
     def sql(self, statement: str) -> DataFrame:
@@ -86,8 +87,10 @@ class Engine:
         if c.query is None:
             self.catalog.create(c.name, c.columns, c.options, c.if_not_exists)
             return self._done("CREATE TABLE", 0)
-        rows = self._query(c.query)
-        t = self.catalog.create(c.name, [ColumnSpec(f.name, f.dataType.simpleString()) for f in rows.schema.fields], c.options, c.if_not_exists)
+        if c.if_not_exists and self.catalog.exists(c.name):
+            return self._done("CREATE TABLE", 0)
+        rows, documents = self._queried(c.query)
+        t = self.catalog.create(c.name, [ColumnSpec(f.name, "json" if f.name in documents else f.dataType.simpleString()) for f in rows.schema.fields], c.options)
         return self._done("CREATE TABLE", t.insert(rows))
 
     def _insert(self, statement: str) -> int:
@@ -122,10 +125,23 @@ class Engine:
         return out
 
     def _query(self, statement: str) -> DataFrame:
+        return self._queried(statement)[0]
+
+    def _queried(self, statement: str) -> tuple[DataFrame, set[str]]:
+        """The rows, and which columns are whole JSON columns."""
         schemas = self._views_of(statement)
         names = {c.name for t in schemas for c in self.catalog.tables[t].columns} | set(self.catalog.tables)
-        text, derived = rewrite(statement.strip().rstrip(";"), schemas, names.union(*self._seen.values()))
-        return self._rendered(self.spark.sql(text), {c: t for c, (t, is_text) in derived.items() if not is_text} | {c: t for s in schemas.values() for c, t in s.items()})
+        plain = dict(self._seen) | {t: {c.name: c.kind for c in self.catalog.tables[t].columns if not c.is_json} for t in schemas}
+        text, derived, documents = rewrite(statement.strip().rstrip(";"), schemas, names.union(self._seen, *self._seen.values()), plain, self._analysed)
+        df = self._rendered(self.spark.sql(text), {c: t for c, (t, is_text) in derived.items() if not is_text} | {c: t for s in schemas.values() for c, t in s.items()})
+        return df, documents
+
+    def _analysed(self, query: str):
+        """The type of column x of a query, or None if Spark cannot tell it from the query alone."""
+        try:
+            return type_of(self.spark.sql(query).schema["x"].dataType)
+        except AnalysisException:
+            return None
 
     def _rendered(self, df: DataFrame, types: dict) -> DataFrame:
         """JSON columns that come out whole, as by ``SELECT *``, are shown as text."""

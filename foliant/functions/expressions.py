@@ -71,7 +71,7 @@ def as_type(expr: str, t: Type | None, path: str, wanted: str) -> str:
     if found is None:
         return f"CAST(NULL AS {wanted})"
     if found == "variant":
-        return f"try_variant_get({e}, {variant_path(rest)}, {literal(wanted)})"
+        return from_variant(e, variant_path(rest), wanted)
     if not isinstance(found, str):
         if wanted.lower() in SPARK.values():
             return f"CAST(NULL AS {wanted})"
@@ -79,6 +79,26 @@ def as_type(expr: str, t: Type | None, path: str, wanted: str) -> str:
     return e if SPARK[found] == wanted.lower() else f"try_cast({e} AS {wanted})"
 
 
+def from_variant(v: str, path: str, wanted: str) -> str:
+    """A value inside a variant: integers only from integers, numbers only from numbers, booleans only from booleans, so
+    that nothing is cut off or made up."""
+    got, w = f"try_variant_get({v}, {path}, {literal(wanted)})", wanted.lower()
+    kind = f"schema_of_variant(try_variant_get({v}, {path}, 'variant'))"
+    if w in ("tinyint", "smallint", "int", "bigint"):
+        return f"CASE WHEN {kind} = 'BIGINT' THEN {got} END"
+    if w == "boolean":
+        return f"CASE WHEN {kind} = 'BOOLEAN' THEN {got} END"
+    return f"CASE WHEN {kind} NOT IN ('STRING', 'BOOLEAN') THEN {got} END" if w in ("float", "double") else got
+
+
+def dynamic(v: str, path: str, kind: str) -> str:
+    """``from_variant`` in a type that is SQL over type names, which Spark resolves with the plan."""
+    if kind[0] == "'" and kind[-1] == "'":
+        return from_variant(v, path, kind[1:-1])
+    have = f"schema_of_variant(try_variant_get({v}, {path}, 'variant'))"
+    return f"CASE WHEN {kind} = 'bigint' AND {have} <> 'BIGINT' OR {kind} = 'double' AND {have} IN ('STRING', 'BOOLEAN') THEN NULL ELSE try_variant_get({v}, {path}, {kind}) END"
+
+
 def natural(expr: str, t: Type | None, path: str, otherwise: str = "string") -> tuple[str, str | None]:
     """The leaf in its own type; ``otherwise`` is the type of what has none of its own (variants, unseen paths)."""
     e, found, rest = walk(expr, t, split_path(path))

@@ -103,3 +103,16 @@ def with_path(t: Type, path: list[str], leaf: Type) -> Type:
     members = dict(t) if isinstance(t, dict) else {}
     members[path[0]] = with_path(members.get(path[0], "null"), path[1:], leaf)
     return dict(sorted(members.items()))
+
+
+def type_of(kind) -> Type | None:
+    """The type of a Spark column; None for what documents cannot hold, such as maps and dates."""
+    name = kind.typeName()
+    if name == "struct":
+        members = {f.name: type_of(f.dataType) for f in kind.fields}
+        return None if None in members.values() else members
+    if name == "array":
+        item = type_of(kind.elementType)
+        return item and ["list", item]
+    found = {v: k for k, v in SPARK.items()}.get(kind.simpleString())
+    return found or ("string" if name in ("varchar", "char") else None)
