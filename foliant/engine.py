@@ -32,7 +32,7 @@ class Engine:
             self.spark.conf.set(k, v)
         self.catalog = Catalog(self.spark, base)
         self.json_types, self.cache = tuple(t.upper() for t in json_types), cache
-        self._views: dict[str, tuple[int, DataFrame, dict]] = {}
+        self._views: dict[str, tuple[tuple, DataFrame, dict]] = {}
         self._seen: dict[str, dict[str, str]] = {}  # views and the types of their columns
 
     # -- tables -------------------------------------------------------------------------------------------------------
@@ -113,7 +113,7 @@ class Engine:
         out = {}
         for name in named:
             t = self.catalog.tables[name]
-            version = len(t.manifest.files.list(t.manifest.folder))
+            version = tuple(t.manifest.names())
             if name not in self._views or self._views[name][0] != version:
                 self._forget(name)
                 df = t.scan()

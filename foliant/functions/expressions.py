@@ -38,10 +38,18 @@ def render(expr: str, t: Type | None, depth: int = 0) -> str:
     if t == "variant":
         return shown_variant(expr)
     if t in FLOATS:
-        return f"CASE WHEN isnan({expr}) OR abs({expr}) = double('infinity') THEN '0' ELSE CAST({expr} AS STRING) END"
+        return shown_number(expr)
     return f"CAST({expr} AS STRING)"
 
 
+def shown_number(expr: str) -> str:
+    """A floating-point number as JSON writers have it: digits from 1e-4 up to 1e16, else the shortest with an exponent;
+    0 for what JSON has no number for."""
+    digits = f"regexp_replace(CAST(CAST({expr} AS DECIMAL(38, 20)) AS STRING), '(\\\\.[0-9]+?)0+$', '$1')"
+    power = f"replace(regexp_replace(CAST({expr} AS STRING), '\\\\.0E', 'E'), 'E', 'e')"
+    return f"CASE WHEN isnan({expr}) OR abs({expr}) = double('infinity') THEN '0' WHEN abs({expr}) >= 1e7 AND abs({expr}) < 1e16 OR abs({expr}) < 1e-3 AND abs({expr}) >= 1e-4 THEN {digits} WHEN abs({expr}) >= 1e16 OR abs({expr}) < 1e-3 AND {expr} <> 0 THEN {power} ELSE CAST({expr} AS STRING) END"
+
+
 def shown_variant(expr: str) -> str:
     return f"nullif(nullif(nullif(to_json({expr}), 'null'), '[]'), '{{}}')"
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -34,19 +34,34 @@ class Files:
             stream.close()
 
     def write_new(self, path: str, text: str) -> bool:
-        """Writes beside and renames, so that the file is whole or absent; False if it is there already."""
+        """Writes a whole file or none, and never over another; False if there is one already.
+
+        The text is written beside first. On a local file system a hard link then gives it its name, elsewhere a rename
+        that does not overwrite; both fail on a name that is taken.
+        """
         fs, p = self._at(path)
-        if fs.exists(p):
-            return False
         _, beside = self._at(f"{path}.{uuid.uuid4().hex}.tmp")
         stream = fs.create(beside, False)
         try:
             stream.write(bytearray(text.encode()))
         finally:
             stream.close()
-        if not fs.rename(beside, p):
+        try:
+            if fs.getUri().getScheme() == "file":
+                nio = self.jvm.java.nio.file
+                at = lambda q: nio.Paths.get(q.toUri().getPath(), self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("java.lang.String"), 0))
+                nio.Files.createLink(at(p), at(beside))
+            elif fs.exists(p):
+                return False
+            else:
+                options = self.jvm.java.lang.reflect.Array.newInstance(self.jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename"), 0)
+                self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.conf).rename(beside, p, options)
+        except Py4JJavaError as e:
+            if "AlreadyExists" in e.java_exception.getClass().getName():
+                return False
+            raise
+        finally:
             fs.delete(beside, False)
-            return False
         return True
 
     def delete(self, path: str) -> None:
@@ -55,11 +70,6 @@ class Files:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A folder that driver and executors share: ``spark.checkpoint.dir``, else a local one in local mode or the warehouse."""
+    """A folder that driver and executors share: ``spark.checkpoint.dir``, else one in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if master.startswith("local") and not master.startswith("local-cluster"):
-        return "file://" + tempfile.mkdtemp(prefix="foliant-")
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_foliant"
+    return found.rstrip("/") if found else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_foliant"

@@ -7,12 +7,13 @@ import uuid
 from dataclasses import dataclass, field
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import as_text, as_type, conform, natural, render
-from ..operators.convert import check_hints, converted
-from ..operators.infer import infer_column
+from ..operators.convert import converted
+from ..operators.infer import inspect
 from ..operators.value_counts import value_counts
 from ..plans.hints import Hint
 from ..schema import Type, known, merge, quoted, spark_type, with_path
@@ -35,6 +36,12 @@ class ColumnSpec:
         return self.kind == "json"
 
 
+def costly(df: DataFrame) -> bool:
+    """Whether the rows come from more than scans and row-by-row work, so that reading them twice would not be cheap."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(f"{name} " in plan or f"{name}\n" in plan for name in ("Join", "Aggregate", "Window", "Sort", "Distinct", "RepartitionByExpression", "MapInArrow", "MapInPandas"))
+
+
 class Table:
     def __init__(self, spark: SparkSession, root: str, name: str, columns: list[ColumnSpec]):
         self.spark, self.root, self.name, self.columns = spark, root, name, columns
@@ -127,27 +134,29 @@ class Table:
 
     # -- writing ----------------------------------------------------------------------------------------------------
     def insert(self, rows: DataFrame, mode: str = "append") -> int:
-        """Appends rows whose JSON columns are texts; missing columns are NULL. Two passes: one infers, one converts
-        and writes, in parallel; the rows are visible once the manifest has them. The number of rows."""
+        """Appends rows whose JSON columns are texts; missing columns are NULL. One pass tests and infers, one converts
+        and writes; the rows are visible once the manifest has them. The number of rows."""
         if mode != "append":
             raise ValueError(f"insert mode {mode!r} is not supported")
         extra = set(rows.columns) - {c.name for c in self.columns}
         if extra:
             raise ValueError(f"table {self.name!r} has no columns {sorted(extra)}")
         given = rows.select(*((F.col(quoted(c.name)).cast("string" if c.is_json else c.kind) if c.name in rows.columns else F.lit(None).cast("string" if c.is_json else c.kind)).alias(c.name) for c in self.columns))
-        required = [c.name for c in self.columns if not c.nullable and not c.is_json]
-        if required and not given.where(" OR ".join(f"{quoted(n)} IS NULL" for n in required)).isEmpty():
-            raise ValueError(f"a NOT NULL column of {self.name!r} got NULL")
-        types: dict[str, Type] = {}
-        for c in self.columns:
-            if c.is_json:
-                check_hints(given, c.name, c.hints)
-                t: Type = infer_column(given, c.name) or "null"
+        held = costly(given)
+        if held:  # read twice below; blocks of lost executors are made again from the input
+            given = given.persist(StorageLevel.DISK_ONLY)
+        try:
+            documents = {c.name: c.hints for c in self.columns if c.is_json}
+            required = [c.name for c in self.columns if not c.nullable and not c.is_json]
+            types = inspect(given, documents, required)
+            for c in self.columns:
                 for h in c.hints:
-                    t = with_path(t, h.path, h.type)
-                types[c.name] = t
-        out = given.select(*(converted(c.name, types[c.name]).alias(c.name) if c.is_json else F.col(quoted(c.name)) for c in self.columns))
-        return self._write(out, types)
+                    types[c.name] = with_path(types[c.name], h.path, h.type)
+            out = given.select(*(converted(c.name, types[c.name]).alias(c.name) if c.is_json else F.col(quoted(c.name)) for c in self.columns))
+            return self._write(out, types)
+        finally:
+            if held:
+                given.unpersist()
 
     def _write(self, out: DataFrame, types: dict[str, Type]) -> int:
         from pyspark.sql import Observation

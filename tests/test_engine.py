@@ -10,6 +10,8 @@ from foliant.engine import Engine
 from foliant.functions.expressions import as_text, as_type, render, text_as_text, text_as_type
 from foliant.operators.convert import HintError
 from foliant.plans.ddl import parse_copy, parse_create
+from foliant.sources.files import Files
+from foliant.sources.manifest import FileSet, Manifest
 from foliant.sources.options import parse_options, writer_options
 from foliant.streaming.tail import tail
 
@@ -158,22 +160,84 @@ def test_options():
 
 
 def test_text_getters(spark):
-    df = spark.createDataFrame([('{"a": 1}',), ('{"a": "x"}',), ('{"a": 2.5}',), ('{"a": true}',), ("broken",), (None,), ('{"a": []}',)], "t string")
-    got = df.select(F.expr(text_as_type("t", "a", "bigint")), F.expr(text_as_type("t", "a", "string")), F.expr(text_as_type("t", "a", "double")), F.expr(text_as_type("t", "a", "boolean")), F.expr(text_as_text("t", "a")))
-    assert rows(got) == [(1, None, 1.0, None, "1"), (None, "x", None, None, '"x"'), (None, None, 2.5, None, "2.5"), (None, None, None, True, "true"), (None,) * 5, (None,) * 5, (None,) * 5]
+    """One column of each kind of value, asked for in each type."""
+    texts = ['{"p":{"q":7}}', '{"p":{"q":"seven"}}', '{"p":{"q":0.25}}', '{"p":{"q":false}}', '{"p":{"q":{}}}', '{"p":3}', "{p", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = df.select("k", *(F.expr(text_as_type("t", "p.q", w)) for w in ("bigint", "string", "double", "boolean")), F.expr(text_as_text("t", "p.q"))).orderBy("k")
+    none = (None,) * 4
+    assert rows(got) == [(0, 7, None, 7.0, None, "7"), (1, None, "seven", None, None, '"seven"'), (2, None, None, 0.25, None, "0.25"), (3, None, None, None, False, "false"), *((k, *none, None) for k in range(4, 8))]
 
 
 def test_struct_getters(spark):
-    df = spark.sql("SELECT named_struct('email', 'e', 'meta', named_struct('n', 39)) AS s UNION ALL SELECT named_struct('email', NULL, 'meta', NULL)")
-    t = {"email": "string", "meta": {"n": "long"}}
-    got = df.select(F.expr(as_type("s", t, "email", "string")), F.expr(as_text("s", t, "email")), F.expr(as_type("s", t, "meta.n", "string")), F.expr(as_type("s", t, "meta", "bigint")), F.expr(as_text("s", t, "meta")), F.expr(as_text("s", t, "no.such")))
-    assert sorted(rows(got), key=str) == sorted([("e", '"e"', "39", None, '{"n":39}', None), (None,) * 6], key=str)
+    df = spark.sql("SELECT 1 AS k, named_struct('unit', 'kg', 'size', named_struct('w', 12)) AS s UNION ALL SELECT 2, named_struct('unit', NULL, 'size', NULL)")
+    t = {"unit": "string", "size": {"w": "long"}}
+    got = df.select("k", F.expr(as_type("s", t, "unit", "string")), F.expr(as_text("s", t, "unit")), F.expr(as_type("s", t, "size.w", "string")), F.expr(as_type("s", t, "size", "bigint")), F.expr(as_text("s", t, "size")), F.expr(as_text("s", t, "size.h"))).orderBy("k")
+    assert rows(got) == [(1, "kg", '"kg"', "12", None, '{"w":12}', None), (2, *(None,) * 6)]
 
 
 def test_rendering(spark):
-    df = spark.sql("""SELECT array(true, NULL) AS b, 'quote" back\\\\slash \\n' AS s, array(CAST(NULL AS INT)) AS l, array(1, 2) AS m, double('nan') AS d""")
+    df = spark.sql("""SELECT array(NULL, false) AS b, 'tab\\t, "q" \\\\' AS s, array(CAST(NULL AS INT)) AS l, array(8, NULL, 9) AS m, double('infinity') AS d""")
     got = df.select(*(F.expr(render(c, t)) for c, t in (("b", ["list", "boolean"]), ("s", "string"), ("l", ["list", "int"]), ("m", ["list", "int"]), ("d", "double"))))
-    assert rows(got) == [("[true]", '"quote\\" back\\\\slash \\n"', None, "[1,2]", "0")]
+    assert rows(got) == [("[false]", json.dumps('tab\t, "q" \\'), None, "[8,9]", "0")]
+    numbers = [0.0, 1.0, -2.5, 12345678.0, 12345678.25, 1e15, 1.5e16, -3e20, 1e-3, 2.5e-4, 1e-5, 1e-7, 0.1]
+    shown = spark.createDataFrame([(k, x) for k, x in enumerate(numbers)], "k int, x double").select("k", F.expr(render("x", "double")).alias("t")).orderBy("k").collect()
+    assert [r.t for r in shown] == ["0.0", "1.0", "-2.5", "12345678.0", "12345678.25", "1000000000000000.0", "1.5e16", "-3e20", "0.001", "0.00025", "1e-5", "1e-7", "0.1"]
+
+
+def test_concurrent_commits_are_all_kept(spark, tmp_path):
+    """Threads and other processes add file sets at once; every one that was acknowledged is live."""
+    import subprocess
+    import sys
+    import threading
+
+    folder = f"file://{tmp_path}/log"
+    code = f"""
+from pyspark.sql import SparkSession
+from foliant.sources.files import Files
+from foliant.sources.manifest import FileSet, Manifest
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+m = Manifest(Files(s), {folder!r})
+for k in range(25):
+    m.add(FileSet("PROCESS-%d" % k, {{}}))
+print("DONE")
+"""
+    others = [subprocess.Popen([sys.executable, "-c", code.replace("PROCESS", f"p{n}")], stdout=subprocess.PIPE, stderr=subprocess.DEVNULL, text=True) for n in range(2)]
+    m = Manifest(Files(spark), folder)
+
+    def work(n):
+        own = Manifest(Files(spark), folder) if n % 2 else m
+        for k in range(25):
+            own.add(FileSet(f"t{n}-{k}", {}))
+
+    threads = [threading.Thread(target=work, args=(n,)) for n in range(8)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert all("DONE" in p.communicate(timeout=120)[0] for p in others)
+    want = {f"t{n}-{k}" for n in range(8) for k in range(25)} | {f"p{n}-{k}" for n in range(2) for k in range(25)}
+    for reader in (m, Manifest(Files(spark), folder)):
+        got = [s.id for s in reader.state()[0]]
+        assert set(got) == want and len(got) == len(want)
+    assert any(n.startswith("state-") for n in m.names())
+
+
+def test_replacing_counts_once(spark, tmp_path):
+    m = Manifest(Files(spark), f"file://{tmp_path}/log")
+    m.append("options", options={"compression": "gzip"})
+    m.add(FileSet("a", {}), FileSet("b", {}), FileSet("c", {}))
+    m.replace(["a", "b"], [FileSet("ab", {})])
+    m.replace(["b", "c"], [FileSet("bc", {})])  # b is gone: this one does not count
+    m.snapshot()
+    m.remove("c")
+    for reader in (m, Manifest(Files(spark), m.folder)):
+        assert ([s.id for s in reader.state()[0]], reader.state()[1]) == (["ab"], {"compression": "gzip"})
+
+
+def test_a_file_is_written_once(spark, tmp_path):
+    f = Files(spark)
+    assert f.write_new(f"file://{tmp_path}/x.json", "one") and not f.write_new(f"file://{tmp_path}/x.json", "two")
+    assert f.read(f"file://{tmp_path}/x.json") == "one" and f.list(f"file://{tmp_path}") == ["x.json"]
 
 
 def test_streaming(engine, tmp_path):

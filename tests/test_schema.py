@@ -4,7 +4,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from foliant.operators.infer import parsed
+from foliant.operators.convert import converted
+from foliant.operators.infer import inspect
 from foliant.plans.hints import Hint, parse_hints
 from foliant.schema import infer, infer_root, known, merge, spark_type, with_path
 
@@ -30,31 +31,59 @@ def test_merge(a, b, want):
     assert merge(a, b) == want == merge(b, a)
 
 
-@pytest.mark.parametrize(
-    ("text", "want"),
-    [
-        ('{"name":"Alice","age":30,"active":true}', {"active": "boolean", "age": "long", "name": "string"}),
-        ('{"numbers":[1,2,3],"tags":["a","b"]}', {"numbers": ["list", "long"], "tags": ["list", "string"]}),
-        ('[{"age":30},{"age":"x","name":"n"}]', {"value": ["list", {"age": "variant", "name": "string"}]}),
-        ('[1,2.5,"hello",true]', {"value": ["list", "variant"]}),
-        ("[[1,2],[3],[]]", {"value": ["list", ["list", "long"]]}),
-        ('{"mixed":[[],["hello"],[]]}', {"mixed": ["list", ["list", "string"]]}),
-        ('[{"name":"A"},{},{"name":null,"age":3}]', {"value": ["list", {"age": "long", "name": "string"}]}),
-        ('{"meta":{}}', {"meta": "null"}),
-        ("18446744073709551615", {"value": "ulong"}),
-        ("5", {"value": "long"}),
-    ],
-)
+DOCUMENTS = [
+    ('{"city":"Oslo","floor":3,"open":false}', {"city": "string", "floor": "long", "open": "boolean"}),
+    ('{"heights":[4,5],"labels":["n","s"]}', {"heights": ["list", "long"], "labels": ["list", "string"]}),
+    ('[{"kg":2},{"kg":"two","unit":"t"}]', {"value": ["list", {"kg": "variant", "unit": "string"}]}),
+    ('[7,0.5,"seven",false]', {"value": ["list", "variant"]}),
+    ("[[9],[8,7],[]]", {"value": ["list", ["list", "long"]]}),
+    ('{"rows":[[],["x"],[]]}', {"rows": ["list", ["list", "string"]]}),
+    ('[{"tag":"q"},{},{"tag":null,"at":6}]', {"value": ["list", {"tag": "string", "at": "long"}]}),
+    ('{"void":{}}', {"void": "null"}),
+    ("18446744073709551615", {"value": "ulong"}),
+    ("18446744073709551616", {"value": "double"}),
+    ("-9223372036854775809", {"value": "double"}),
+    ('{"a":[1,9223372036854775808]}', {"a": ["list", "ulong"]}),
+    ("12", {"value": "long"}),
+    ("1.0", {"value": "double"}),
+    ('{"a":[1,2.5],"b":[1,1e3],"d":[true,null]}', {"a": ["list", "double"], "b": ["list", "double"], "d": ["list", "boolean"]}),
+    ('{"x y":{"`":1,"ö":"z"},"1a":2.25}', {"1a": "double", "x y": {"`": "long", "ö": "string"}}),
+    ('{"s":"BIGINT<a: >,`"}', {"s": "string"}),
+    ("{}", {}),
+    ("null", {"value": "null"}),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), DOCUMENTS)
 def test_infer(text, want):
     assert infer_root(json.loads(text)) == want
 
 
-def test_late_elements_count():
-    assert infer([1] * 200 + ["x"]) == ["list", "variant"]
+def test_inference_in_the_jvm_agrees(spark):
+    """Each document alone, by the same pass that an insert makes."""
+    s = spark.newSession()
+    s.conf.set("spark.sql.caseSensitive", "true")
+    s.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+    columns = {f"c{k}": [] for k in range(len(DOCUMENTS))}
+    df = s.createDataFrame([tuple(t for t, _ in DOCUMENTS)], ", ".join(f"{c} string" for c in columns))
+    got = inspect(df, columns)
+    assert [known(got[f"c{k}"]) for k in range(len(DOCUMENTS))] == [known(want) for _, want in DOCUMENTS]
 
 
-def test_malformed():
-    assert [parsed(t)[0] for t in (None, "", "  ", "{", '{"a":NaN}', "1 2", "null", '{"a":1}')] == [False] * 6 + [True, True]
+MALFORMED = ["", "  ", "{", '{"a":NaN}', "1 2", '{"a":1} x', '{"a":1}{', "[1] x", "1] x", "1],[2", '1,"k":2', "'a'", "01", "nul", '{"a":1},{"b":2}', '{"a" 1}', "\ufeff1", '{"a":1}]', "[1,2", '"x', "1 /* c */"]
+
+
+def test_malformed_documents_are_null_alone_and_among_others(spark):
+    rows = [(k, t) for k, t in enumerate([*MALFORMED, None])] + [(100, ' {"b":[1]} '), (101, "null"), (102, "7")]
+    df = spark.createDataFrame(rows, "id int, d string")
+    got = {r.id: r.d for r in df.select("id", converted("d", {"a": "long", "b": ["list", "long"], "value": "long"}).alias("d")).collect()}
+    assert {k for k, v in got.items() if v is not None} == {100, 101, 102} and got[100].b == [1] and got[102].value == 7
+    assert inspect(df, {"d": []}) == {"d": {"b": ["list", "long"], "value": "long"}}
+    assert inspect(df.where("id < 100"), {"d": []}) == {"d": "null"}
+
+
+def test_late_elements_count():
+    assert infer([1] * 200 + ["x"]) == ["list", "variant"]
 
 
 def test_spark_types():
