@@ -129,6 +129,7 @@ class Engine:
 
     def _queried(self, statement: str) -> tuple[DataFrame, set[str]]:
         """The rows, and which columns are whole JSON columns."""
+        statement = self._information(statement)
         schemas = self._views_of(statement)
         names = {c.name for t in schemas for c in self.catalog.tables[t].columns} | set(self.catalog.tables)
         plain = dict(self._seen) | {t: {c.name: c.kind for c in self.catalog.tables[t].columns if not c.is_json} for t in schemas}
@@ -136,6 +137,17 @@ class Engine:
         df = self._rendered(self.spark.sql(text), {c: t for c, (t, is_text) in derived.items() if not is_text} | {c: t for s in schemas.values() for c, t in s.items()})
         return df, documents
 
+    def _information(self, statement: str) -> str:
+        """``information_schema.tables`` and ``.columns`` as views of what the catalog holds now."""
+        ts, out, at = tokens(statement), [], 0
+        for i, t in enumerate(ts[:-2]):
+            if t.name == "information_schema" and ts[i + 1].text == "." and ts[i + 2].name in ("tables", "columns"):
+                view = f"information_schema_{ts[i + 2].name}"
+                (self.tables() if ts[i + 2].name == "tables" else self.columns()).createOrReplaceTempView(view)
+                out.append(statement[at : t.at] + view)
+                at = ts[i + 2].end
+        return "".join(out) + statement[at:]
+
     def _analysed(self, query: str):
         """The type of column x of a query, or None if Spark cannot tell it from the query alone."""
         try:

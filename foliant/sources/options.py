@@ -18,30 +18,30 @@ def parse_options(given: dict[str, str]) -> dict:
     for key, raw in given.items():
         k = ALIASES.get(key.lower(), key.lower())
         if k not in NAMES:
-            raise ValueError(f"Unknown table option '{key}'. Supported options: {', '.join(NAMES)}")
+            raise ValueError(f"{key!r} is no option of a table; there are {', '.join(NAMES)}")
         if k == "compression":
             out[k] = str(raw).lower()
             if out[k] not in CODECS:
-                raise ValueError(f"Unknown compression codec '{raw}'. Supported codecs: {', '.join(CODECS[:-1])}")
+                raise ValueError(f"{raw!r} is no codec; there are {', '.join(CODECS)}")
         elif k == "enable_dict":
             v = str(raw).strip().lower()
             if v not in TRUE + FALSE:
-                raise ValueError(f"Invalid value {raw!r} for {key}; expected boolean")
+                raise ValueError(f"{key} is on or off, not {raw!r}")
             out[k] = v in TRUE
         else:
             try:
                 out[k] = int(str(raw))
             except ValueError as e:
-                raise ValueError(f"Invalid value {raw!r} for {key}: {e}") from e
+                raise ValueError(f"{key} is a whole number, not {raw!r}") from e
     codec = out.get("compression", "zstd")
     for name, (low, high) in LEVELS.items():
         level = out.get(f"{name}_level")
         if level is not None and name != codec:
-            raise ValueError(f"{name}_level is only valid with compression='{name}'")
+            raise ValueError(f"{name}_level needs compression = '{name}', which is {codec!r}")
         if level is not None and not low <= level <= high:
-            raise ValueError(f"Invalid {name}_level {level}: must be {low} to {high}")
+            raise ValueError(f"{name}_level goes from {low} to {high}, so {level} is none")
     if out.get("dictionary_page_size_limit", 1) <= 0:
-        raise ValueError("dictionary_page_size_limit must be > 0")
+        raise ValueError("dictionary_page_size_limit has to be positive")
     return out
 
 

@@ -187,7 +187,7 @@ class Table:
         from ..plans.ddl import copy_column
 
         if format and format.lower() not in ("json", "ndjson"):
-            raise ValueError(f"COPY FORMAT '{format.lower()}' is not supported; use JSON or NDJSON")
+            raise ValueError(f"{format.lower()!r} cannot be copied; the formats are json and ndjson")
         name = copy_column(self, [column] if column else [])
         lines = self.spark.read.text(path).where("trim(value) <> ''").select(F.col("value").alias(name))
         return self.insert(lines)

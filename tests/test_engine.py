@@ -140,11 +140,11 @@ def test_copy(engine, tmp_path):
     engine.sql("CREATE TABLE c (id INT, data JSON) WITH (compression = 'gzip', gzip_level = 6)")
     assert engine.sql(f"COPY c FROM '{tmp_path}/in.ndjson' WITH (FORMAT ndjson)").first()["count"] == 3
     assert sorted(map(str, rows(engine.sql("SELECT id, data FROM c")))) == sorted(map(str, [(None, '{"a":1}'), (None, '{"value":[2]}'), (None, None)]))
-    for bad, message in (("COPY c TO 'x'", "COPY TO"), ("COPY (SELECT 1) FROM 'x'", "table sources"), ("COPY c FROM STDIN", "file targets"), ("COPY c FROM 'x' WITH (FORMAT csv)", "not supported"), ("COPY c FROM 'x' WITH (FORMAT json, FORMAT ndjson)", "consistent"), ("COPY c FROM 'x' CSV", "legacy"), ("COPY c (id) FROM 'x'", "not a JSON column"), ("COPY c (id, data) FROM 'x'", "single"), ("COPY c (zz) FROM 'x'", "does not exist")):
+    for bad, message in (("COPY c TO 'x'", "COPY TO"), ("COPY (SELECT 1) FROM 'x'", "query"), ("COPY c FROM STDIN", "in quotes"), ("COPY c FROM 'x' WITH (FORMAT csv)", "formats are"), ("COPY c FROM 'x' WITH (FORMAT json, FORMAT ndjson)", "differ"), ("COPY c FROM 'x' CSV", "in brackets"), ("COPY c (id) FROM 'x'", "holds no JSON"), ("COPY c (id, data) FROM 'x'", "one column"), ("COPY c (zz) FROM 'x'", "no column")):
         with pytest.raises(ValueError, match=message):
             engine.sql(bad)
     engine.sql("CREATE TABLE c2 (a JSON, b JSON)")
-    with pytest.raises(ValueError, match="explicit"):
+    with pytest.raises(ValueError, match="several"):
         engine.sql("COPY c2 FROM 'x'")
     assert parse_copy("COPY t (d) FROM '/a''b' WITH (FORMAT json)").path == "/a'b"
 
@@ -152,7 +152,7 @@ def test_copy(engine, tmp_path):
 def test_options():
     assert parse_options({"enable_dict": "off", "parquet_compression": "GZIP", "gzip_level": "9"}) == {"enable_dict": False, "compression": "gzip", "gzip_level": 9}
     for bad in ({"x": "1"}, {"compression": "zip"}, {"gzip_level": "3"}, {"zstd_level": "99"}, {"enable_dict": "maybe"}, {"dictionary_page_size_limit": "0"}, {"zstd_level": "a"}):
-        with pytest.raises(ValueError, match="nvalid|nknown|valid|> 0"):
+        with pytest.raises(ValueError, match="no option|no codec|goes from|needs|on or off|positive|whole"):
             parse_options(bad)
     assert writer_options({})["compression"] == "zstd"
     with pytest.raises(ValueError, match="brotli"):
