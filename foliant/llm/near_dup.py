@@ -1,6 +1,7 @@
 """MinHash near-duplicates: banded candidates, sequential Bayesian pruning of signatures, exact verification.
 
-Rows come as (id, text), ids as integers; rows that share an id are one document. A set is the distinct 5-word shingles of the whole lower-cased text. Steps:
+Rows come as (id, text), ids as integers (others raise TypeError). A set is the distinct 5-word shingles of the whole
+lower-cased text. Steps:
 
 1. ``sketch``: for each row the set's size, a digest of the set, 32 band keys of 4 MinHash values each, and a
    signature of 128 further one-byte MinHash values (independent of the bands, so that a pair's meeting in a band
@@ -8,7 +9,8 @@ Rows come as (id, text), ids as integers; rows that share an id are one document
 2. Star candidates: in each bucket every member is paired with the bucket's least id only, never all with all.
 3. Pairs are pruned batch by batch: once the posterior chance of a similarity at or over the threshold falls below
    ``MISS``, the pair is dropped. ``MISS`` holds for each of the four looks; over all of them a pair at exactly the
-   threshold is dropped with a chance of 4.6e-6 (``total_miss``). Survivors are verified on their full sets.
+   threshold is dropped with a chance of 4.6e-6 (``total_miss``). Survivors are verified on their full sets: by
+   hashes, and what these would link by the words themselves (``confirmed``).
 4. Components of the verified links. Buckets that hold one component only are done. In others, the members outside
    the largest component are held against all members of other components, in blocks, by the same pruning, and the
    survivors verified block by block; only links come out.
@@ -16,7 +18,8 @@ Rows come as (id, text), ids as integers; rows that share an id are one document
 Copies beyond one and pairs inside a component are thus never spelled out, yet no candidate link between two
 components goes untested. A pair at the threshold meets in no band with a chance of (1 - 0.75^4)^32 = 5.2e-6.
 
-Null ids: the row is kept with n_shingles and a null component, kept false. Null, empty or wordless texts: an empty
+Rows that share an id but not a text are rows of their own, with a set and a component each; where such an id stands for
+several classes, a link of one is a link of all. Null ids: the row is kept with n_shingles and a null component, kept false. Null, empty or wordless texts: an empty
 set, linked with nothing. Repeated rows: one class. An empty table gives an empty result. Columns other than id and
 text are not read.
 """
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import Scratch
+from .store import Scratch, free
 from .words import NOT_SPACE, chunks, column_bytes, mix, small
 
 WORDS, BANDS, ROWS, VERIFY, BATCH = 5, 32, 4, 128, 32
@@ -138,6 +141,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in small(batches):
         n, digests, bands, sigs = [], [], [], []
+        marks = ["null" if t is None else hashlib.md5(t, usedforsecurity=False).hexdigest() for t in batch.column(1).cast(pa.large_binary()).to_pylist()]
         for s in shingle_sets(column_bytes(batch.column(1))):
             n.append(len(s))
             digests.append(digest(s) if len(s) else None)
@@ -145,13 +149,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands.append(None if v is None else band_keys(v))
             sigs.append(None if v is None else signature(v))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-            names=["id", "n_shingles", "digest", "bands", "sig"],
+            [batch.column(0), pa.array(marks), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+            names=["id", "mark", "n_shingles", "digest", "bands", "sig"],
         )
 
 
 def sketch(rows: DataFrame) -> DataFrame:
-    return rows.select("id", "text").mapInArrow(_sketch, "id long, n_shingles long, digest binary, bands array<long>, sig binary")
+    return rows.select("id", "text").mapInArrow(_sketch, "id long, mark string, n_shingles long, digest binary, bands array<long>, sig binary")
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
@@ -166,18 +170,58 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array(got)], names=["a", "b", "matches"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def confirmed(a: bytes, b: bytes) -> bool:
+    """``linked`` on the words themselves, without any hash: words are numbered, shingles are numbers in that base."""
+    number: dict[bytes, int] = {}
+    ids = [np.fromiter((number.setdefault(w, len(number)) for w in t.lower().split()), np.int64) for t in (a, b)]
+    n = [max(0, len(x) - WORDS + 1) for x in ids]
+    if not n[0] or not n[1]:
+        return len(ids[0]) > 0 and np.array_equal(*ids)
+    base = len(number)
+    key, bound = np.concatenate([x[:k] for x, k in zip(ids, n, strict=True)]), base
+    for at in range(1, WORDS):
+        if bound * base >= 1 << 62:
+            _, key = np.unique(key, return_inverse=True)
+            bound = int(key.max()) + 1
+        key = key * base + np.concatenate([x[at : at + k] for x, k in zip(ids, n, strict=True)])
+        bound *= base
+    return linked(np.unique(key[: n[0]]), np.unique(key[n[0] :]))
+
+
+def _verify_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by (head, chunk): the head (side 0) before its members (side 1)."""
+    now, text, own = None, b"", np.empty(0, np.uint64)
     for batch in small(batches):
-        left, right = (shingle_sets(column_bytes(batch.column(i))) for i in (2, 3))
-        ok = pa.array([linked(a, b) for a, b in zip(left, right, strict=True)], pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+        if not batch.num_rows:
+            continue
+        side, i = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+        texts = column_bytes(batch.column(4))
+        sets = shingle_sets(texts)
+        a, b = [], []
+        for key, lo, hi in _groups(batch, 2):
+            if now != key:
+                now, text, own = key, b"", own[:0]
+            for k in range(lo, hi):
+                s = next(sets)
+                if side[k] == 0:
+                    text, own = texts[k], s
+                elif linked(own, s) and confirmed(text, texts[k]):
+                    a.append(key[0])
+                    b.append(int(i[k]))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. texts: one row (id, text) for each representative."""
-    t = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
-    t = t.join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
-    return t.select("a", "b", "ta", "tb").mapInArrow(_verify, "a long, b long")
+    """The pairs (a, b) whose full sets are similar enough. texts: one row (id, text) for each representative.
+
+    A head ``a`` travels once with every ``BLOCK`` or so of its members, never once for each pair.
+    """
+    chunks_ = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    heads = chunks_.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), F.col("a").alias("id"))
+    members = pairs.join(chunks_, "a").select("a", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"), F.lit(1).alias("side"), F.col("b").alias("id"))
+    rows = heads.unionByName(members).join(texts, "id").select("a", "chunk", "side", "id", "text")
+    return rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "side").mapInArrow(_verify_stars, "a long, b long")
 
 
 def _groups(batch: pa.RecordBatch, by: int) -> Iterator[tuple[tuple, int, int]]:
@@ -222,7 +266,7 @@ def _verify_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
     A query's further partners in a component that it is linked with already need no test.
     """
-    now, sets, comps = None, {}, {}
+    now, sets, comps, texts = None, {}, {}, {}
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -231,15 +275,16 @@ def _verify_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         a, b = [], []
         for key, lo, hi in _groups(batch, 3):
             if now != key:
-                now, sets, comps = key, {}, {}
+                now, sets, comps, texts = key, {}, {}, {}
             for k in range(lo, hi):
-                (own,) = shingle_sets(column_bytes(batch.column(6).slice(k, 1)))
+                (text,) = column_bytes(batch.column(6).slice(k, 1))
+                (own,) = shingle_sets([text])
                 if side[k] == 0:
-                    sets[int(i[k])], comps[int(i[k])] = own, int(c[k])
+                    sets[int(i[k])], comps[int(i[k])], texts[int(i[k])] = own, int(c[k]), text
                     continue
                 done = set()
                 for p in partners[k].as_py():
-                    if p in sets and comps[p] not in done and linked(own, sets[p]):
+                    if p in sets and comps[p] not in done and linked(own, sets[p]) and confirmed(text, texts[p]):
                         done.add(comps[p])
                         a.append(min(p, int(i[k])))
                         b.append(max(p, int(i[k])))
@@ -279,8 +324,15 @@ def _cross_links(buckets: DataFrame, reps: DataFrame, comp: DataFrame, texts: Da
     return scratch.table(rows.mapInArrow(_verify_blocks, "a long, b long").distinct())
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: id_col, n_shingles, component_id, kept, n_copies (rows with the same set)."""
+def _of_text(text_col: str):
+    """A text's own mark, by which rows that share an id are told apart; null and empty texts differ."""
+    return F.coalesce(F.md5(F.col(text_col).cast("binary")), F.lit("null"))
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, mark, n_shingles, component_id, n_copies, kept) for every row."""
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long", "void"):
+        raise TypeError(f"ids must be integers; {id_col!r} is {docs.schema[id_col].dataType.simpleString()}")
     spark = docs.sparkSession
     scratch = Scratch(spark, "near-dup")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -293,31 +345,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = scratch.table(keyed.join(heads, "key").select("key", "id", "head", "n"))
     pairs = buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     pairs = pairs.join(reps.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
-    pairs = scratch.table(pairs.select("a", "b", "sa", "sb").mapInArrow(_prune, "a long, b long, matches long").select("a", "b"))
+    pairs = scratch.table(pairs.select("a", "b", "sa", "sb").mapInArrow(_prune, "a long, b long, matches long").select("a", "b").distinct())
     # the texts that verification can ask for are fetched once, by a join that is the same at every size
     asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(buckets.where("n > 2").select("id")).distinct()
     texts = scratch.table(rows.where("id is not null").hint("merge").join(asked, "id", "left_semi"))
-    links = scratch.table(verified(pairs, texts))
+    links = scratch.table(verified(pairs, texts).distinct())
     comp = components(links, scratch)
     more = _cross_links(buckets, reps, comp, texts, scratch)
     if not more.isEmpty():
         comp = components(links.unionByName(more), scratch)
-    scratch.drop(buckets, pairs, texts)
     of_class = scratch.table(classes.join(comp, "id", "left").select("digest", "n_copies", F.coalesce("comp", "id").alias("comp")))
-    scratch.drop(classes, reps, links)
-    out = sk.select("id", "n_shingles", "digest").join(of_class, "digest", "left")
-    out = out.select(F.col("id").alias(id_col), "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
-    return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+    scratch.clear(sk, of_class)
+    out = sk.select("id", "mark", "n_shingles", "digest").join(of_class, "digest", "left")
+    out = out.select("id", "mark", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
+    return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: id_col, n_shingles, component_id, kept, n_copies (rows that have an id and the same set).
+
+    A column of these that would have the id column's name gets underscores after it.
+    """
+    out = _judged(docs, id_col, text_col)
+    names = [free(n, (id_col,)) for n in ("n_shingles", "component_id", "n_copies", "kept")]
+    return out.select(F.col("id").alias(id_col), *(F.col(n.rstrip("_")).alias(n) for n in names))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows, with all their columns, that stand for their group; of rows with equal id and text one stays.
 
-    Rows of null id belong to no group and stay.
+    Rows that share an id but not a text are judged one by one. Rows of null id belong to no group and stay. Documents
+    are dealt out once, by id and the mark of their text; the text itself is no key.
     """
-    name = "_kept"
-    while name in docs.columns:
-        name += "_"
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias(name)).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col(name), "left_semi").dropDuplicates([id_col, text_col])
+    name, mark = free("_kept", docs.columns), free("_mark", docs.columns)
+    kept = _judged(docs, id_col, text_col).where("kept").select(F.col("id").alias(name), F.col("mark").alias(mark)).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).withColumn(mark, _of_text(text_col))
+    named = named.join(kept.hint("merge"), (named[id_col] == kept[name]) & (named[mark] == kept[mark]), "left_semi").dropDuplicates([id_col, mark]).drop(mark)
     return named.unionByName(docs.where(F.col(id_col).isNull()))

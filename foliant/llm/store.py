@@ -2,36 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-_own: dict[str, str] = {}
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset, a local folder in local mode, else the warehouse."""
+    """The folder in ``spark.checkpoint.dir``; where it is unset, one in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
-    if master.startswith("local") and not master.startswith("local-cluster"):
-        if app not in _own:
-            _own[app] = "file://" + tempfile.mkdtemp(prefix="foliant-")
-        return _own[app]
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_foliant"
+    return found.rstrip("/") if found else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_foliant"
 
 
 class Scratch:
-    """Parquet tables of one run in the shared folder: they cut lineage and survive lost executors."""
+    """Parquet tables of one run in the shared folder: they cut lineage and survive lost executors.
+
+    What the run does not drop itself goes with ``clear``, or when the driver's JVM ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        fs, path = self._at(self.root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+
+    def _at(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def table(self, df: DataFrame) -> DataFrame:
         self.made += 1
@@ -43,10 +42,24 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later result reads."""
-        jvm = self.spark._jvm
         for t in tables:
-            path = jvm.org.apache.hadoop.fs.Path(t._scratch_path)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            fs, path = self._at(t._scratch_path)
+            fs.delete(path, True)
+
+    def clear(self, *but: DataFrame) -> None:
+        """Deletes all tables but those that a result still reads."""
+        keep = {t._scratch_path.rsplit("/", 1)[1] for t in but}
+        fs, root = self._at(self.root)
+        for s in fs.listStatus(root):
+            if s.getPath().getName() not in keep:
+                fs.delete(s.getPath(), True)
+
+
+def free(name: str, taken) -> str:
+    """The name, with underscores after it while it is taken."""
+    while name in taken:
+        name += "_"
+    return name
 
 
 def key_hash(col: Column | str) -> Column:

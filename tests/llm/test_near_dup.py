@@ -72,20 +72,109 @@ def test_open_pairs_are_verified(spark):
     assert {r.doc_id: r.component_id for r in near_dup.near_duplicates(df).collect()} == {k: v[1] for k, v in brute(rows).items()}
 
 
+def thue_morse(n=10, letters="ab"):
+    """Two words of 2**n letters that every polynomial hash modulo 2**64 takes for one."""
+    word = [0]
+    for _ in range(n):
+        word += [1 - x for x in word]
+    return "".join(letters[x] for x in word), "".join(letters[1 - x] for x in word)
+
+
+def test_words_that_collide_in_polynomials(spark):
+    a, b = thue_morse()
+    rows = [(1, a), (2, b), (3, f"p q r s {a} t u"), (4, f"p q r s {b} t u"), (5, f"p q r s {a.upper()} t u"), (6, f"{a} {b} x y z w {b} {a} x y z w")]
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) and got[5][1] == 3 and [got[k][1] for k in (1, 2, 3, 4)] == [1, 2, 3, 4]
+
+
+def test_confirming_is_exact():
+    r = random.Random(4)
+    for _ in range(400):
+        v = [f"w{k}" for k in range(r.choice((2, 6, 200)))]
+        x = [r.choice(v) for _ in range(r.randrange(60))]
+        y = list(x) if r.random() < 0.7 else [r.choice(v) for _ in range(r.randrange(60))]
+        for _ in range(r.randrange(3)):
+            if y:
+                y[r.randrange(len(y))] = r.choice(v)
+        p, q = " ".join(x), "\t".join(y).upper()
+        s, t = sets(p), sets(q)
+        assert near_dup.confirmed(p.encode(), q.encode()) == bool(s and t and 100 * len(s & t) >= 75 * len(s | t))
+    wide = " ".join(f"w{k}" for k in range(9000))  # more words than five numbers in one 64-bit number hold
+    assert near_dup.confirmed(wide.encode(), (wide + " x").encode()) and not near_dup.confirmed(wide.encode(), wide[: len(wide) // 2].encode())
+
+
 def test_nulls_repeats_extra_columns_and_empty(spark):
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (None, "a b c d e f", "z"), (2, None, None), (3, "", None), (4, "a b c d e f", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, id string")
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept, r.n_copies) for r in near_dup.near_duplicates(df).collect()), key=str)
-    assert got == sorted([(1, 2, 1, True, 3), (1, 2, 1, True, 3), (None, 2, None, False, 1), (2, 0, 2, True, 1), (3, 0, 3, True, 1), (4, 2, 1, False, 3)], key=str) or [g[:4] for g in got] == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 2, None, False), (2, 0, 2, True), (3, 0, 3, True), (4, 2, 1, False)], key=str)
+    assert got == sorted([(1, 2, 1, True, 3), (1, 2, 1, True, 3), (None, 2, None, False, 3), (2, 0, 2, True, 1), (3, 0, 3, True, 1), (4, 2, 1, False, 3)], key=str)
     assert sorted(r.doc_id or -1 for r in near_dup.keep_one(df).collect()) == [-1, 1, 2, 3]
     assert near_dup.near_duplicates(df.limit(0)).collect() == []
     assert near_dup.keep_one(df.limit(0)).columns == df.columns
 
 
+def test_one_id_with_two_texts(spark):
+    """Each row is judged by its own text: that of id 1 which copies id 0 goes, the other stays."""
+    df = spark.createDataFrame([(0, "a b c d e f g"), (1, "a b c d e f g"), (1, "q r s t u v w"), (1, None), (1, "")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id, r.kept, r.n_shingles) for r in near_dup.near_duplicates(df).collect())
+    assert got == [(0, 0, True, 3), (1, 0, False, 3), (1, 1, True, 0), (1, 1, True, 0), (1, 1, True, 3)]
+    assert sorted((r.doc_id, str(r.text)) for r in near_dup.keep_one(df).collect()) == [(0, "a b c d e f g"), (1, ""), (1, "None"), (1, "q r s t u v w")]
+
+
+def test_names_and_types_of_ids(spark):
+    df = spark.createDataFrame([(1, "a b", True), (2, "a b", None)], "n_shingles long, kept string, _kept boolean")
+    out = near_dup.near_duplicates(df, "n_shingles", "kept")
+    assert out.columns == ["n_shingles", "n_shingles_", "component_id", "n_copies", "kept"]
+    assert sorted(map(tuple, out.collect())) == [(1, 1, 1, 2, True), (2, 1, 1, 2, False)]
+    assert [tuple(r) for r in near_dup.keep_one(df, "n_shingles", "kept").collect()] == [(1, "a b", True)]
+    with pytest.raises(TypeError, match="integers"):
+        near_dup.near_duplicates(spark.createDataFrame([("x", "a")], "doc_id string, text string"))
+
+
+def test_scratch_goes(spark, tmp_path, monkeypatch):
+    import os
+
+    from foliant.llm import store
+
+    monkeypatch.setattr(store, "shared_dir", lambda s: f"file://{tmp_path}")
+    near_dup.near_duplicates(spark.createDataFrame(corpus(), "doc_id long, text string")).collect()
+    (run,) = os.listdir(tmp_path)
+    assert len([n for n in os.listdir(tmp_path / run) if not n.startswith(".")]) == 2  # what the result reads
+
+
+def test_unlike_members_of_one_bucket(spark, monkeypatch):
+    """3,000 documents that share one long passage, a few of them alike: the work of the crossing stays with members that
+    meet outside the largest component, and no link is lost."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    passage = [word() for _ in range(60)]
+    rows = [(k, " ".join([*passage, *(word() for _ in range(60))])) for k in range(3000)]
+    rows += [(5000 + k, rows[7 * k][1] + " tail") for k in range(100)]
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(got[5000 + k] == 7 * k for k in range(100)) and all(got[k] == k for k in range(3000))
+
+
 def test_matches_sql(spark):
     check(spark, queries.QUERIES["op1_minhash_near_dedup"], queries.ORACLE_SQL["op1_minhash_near_dedup"])
 
 
+def test_recall_near_the_threshold(spark):
+    """Pairs of similarity 0.75 to 0.8, held against brute force: all of 300 are found."""
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows = []
+    while len(rows) < 600:
+        x = [word() for _ in range(104)]
+        y = list(x)
+        for at in r.sample(range(5, 99), 3):
+            y[at] = word()
+        s, t = sets(" ".join(x)), sets(" ".join(y))
+        if 75 <= 100 * len(s & t) / len(s | t) < 80:
+            rows += [(len(rows), " ".join(x)), (len(rows) + 1, " ".join(y))]
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {k: k - k % 2 for k in range(600)}
+
+
 def test_pruning_rule():
     assert list(near_dup.LEAST) == sorted(near_dup.LEAST) and near_dup.posterior(near_dup.LEAST[-1] - 1, 128, 0.75) < near_dup.MISS <= near_dup.posterior(near_dup.LEAST[-1], 128, 0.75)
     rng = np.random.default_rng(1)
