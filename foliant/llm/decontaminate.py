@@ -1,21 +1,26 @@
 """Benchmark decontamination by suffix arrays over the words of document shards.
 
-Each chunk of whole documents is a shard: its words get the numbers of the benchmark's vocabulary (0: a word that no
-item has) and its suffixes are sorted by prefix doubling over their first 8 words. Only suffixes that can match are
-in the array: those inside a run of benchmark words that is long enough for the shortest window. Every suffix of every
-item is then binary-searched; each hit gives a document, a place and, by comparing on, the longest verbatim match.
-
-Benchmarks travel to the executors as numbers, in blocks of items of at most ``BLOCK_BYTES`` of text; a larger
-benchmark means more passes over the documents, never a larger broadcast.
-
-Null or empty texts have no words; such documents are clean, such items occur nowhere. Repeated items with different
-ids each count; items that share an id count once. Empty tables: an empty result, or all documents clean. Other columns
-are carried along by ``clean`` and ignored elsewhere; the ids of items are compared as strings.
+Each shard, about ``SHARD`` bytes of whole documents, gets numbers for its words (0: a word that no item has) and an array
+of its suffixes sorted by their first 8 words, by prefix doubling. Only suffixes that can match are in it: those inside a
+run of benchmark words that is long enough for the shortest window. Every distinct window at which a test suffix begins
+is binary-searched; windows of one length lie at different places, so a shard has at most as many hits as words for each
+length, however often a window repeats on either side. Items come in afterwards, from a list for each window.
+
+From hits the longest verbatim matches are read off a full suffix array of the items: going on word by word narrows the
+range of test suffixes, until none is left; the next match begins at the first window that is not inside this one.
+
+Words are numbered by a hash and then compared by their bytes. Benchmarks travel to the executors in blocks of about
+``BLOCK_BYTES`` of text, dealt by the items' ids on the executors; the driver reads one block at a time, and each is a
+pass over the documents. An item is never split: the bound of a block is that, or the longest item.
+
+Null or empty texts have no words; such documents are clean, such items occur nowhere. Items of null id are ignored.
+Repeated items with different ids each count; items that share an id count once, with the windows of all their texts.
+Empty tables: an empty result, or all documents clean. Other columns are carried along by ``clean`` and ignored
+elsewhere; the ids of items are compared as strings.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,44 +29,145 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .words import LETTERS, Chunk, chunks, column_bytes, small
+from .store import Scratch, free
+from .words import FOLD, LETTERS, Chunk, chunks, column_bytes, small
 
 WINDOW = 8
 BLOCK_BYTES = 8 << 20
-SPANS = "array<struct<item:string,start:int,length:int>>"
+SHARD = 1 << 20
+#: Items in the rows that are sent on at once.
+FLUSH = 100_000
+FOUND = "n_words long, items array<string>, hits array<struct<start:int,length:int>>, spans array<struct<item:string,place:int,start:int,length:int>>"
+
+
+def ranges(first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, .., of sizes[0] numbers, then those of first[1], ..."""
+    ends = np.cumsum(sizes)
+    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes) + np.repeat(first, sizes)
 
 
 class Index:
     """The suffixes of a block of benchmark items, of WINDOW words each (or the whole item, if shorter)."""
 
     def __init__(self, items: list[tuple[str, bytes]]):
-        items = [(k, t) for k, t in items if t]
+        items = [(k, t) for k, t in sorted(items) if t]
+        self.names = sorted({k for k, _ in items})
+        owner = {k: n for n, k in enumerate(self.names)}
         parts = list(chunks([t for _, t in items], LETTERS))
-        hashed = [(c.first + c.row, c.hashes()) for c in parts]
-        row = np.concatenate([r for r, _ in hashed]) if hashed else np.empty(0, np.int64)
-        words = np.concatenate([h for _, h in hashed]) if hashed else np.empty(0, np.uint64)
-        self.names = [k for k, _ in items]
-        self.vocabulary = np.unique(words)
-        numbers = self.number(words)
+        row = np.concatenate([c.first + c.row for c in parts]) if parts else np.empty(0, np.int64)
+        self._vocabulary(parts)
+        numbers = np.concatenate([self.number(c) for c in parts]) if parts else np.empty(0, np.int64)
         lengths = np.bincount(row, minlength=len(items))
-        ends = np.cumsum(lengths)
-        self.tests: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []  # (words, queries, item of each, place of each)
-        self.numbers, self.first = numbers, ends - lengths
+        self._suffixes(numbers, lengths, np.array([owner[k] for k, _ in items], np.int64))
         sizes = np.minimum(lengths, WINDOW)
+        #: (words of a window, distinct windows, number of the first)
+        self.tests: list[tuple[int, np.ndarray, int]] = []
+        pairs, total = [], 0
         for m in np.unique(sizes[sizes > 0]).tolist():
-            of = [(i, p) for i in np.flatnonzero(sizes == m).tolist() for p in range(lengths[i] - m + 1)]
-            item, place = np.array(of, np.int64).T
-            at = self.first[item] + place
-            self.tests.append((m, np.stack([numbers[at + k] for k in range(m)], axis=1), item, place))
-        self.lengths = lengths
+            at = np.flatnonzero(sizes == m)
+            each = lengths[at] - m + 1
+            place = ranges(self.first[at], each)
+            windows, which = np.unique(np.stack([self.words[place + k] for k in range(m)], axis=1), axis=0, return_inverse=True)
+            self.tests.append((m, windows, total))
+            pairs.append((which.ravel() + total) * max(1, len(self.names)) + np.repeat(self.owner[at], each))
+            total += len(windows)
+        pairs = np.unique(np.concatenate(pairs)) if pairs else np.empty(0, np.int64)
+        self.posts = pairs % max(1, len(self.names))
+        self.offsets = np.searchsorted(pairs // max(1, len(self.names)), np.arange(total + 1))
         self.shortest = min((t[0] for t in self.tests), default=0)
 
-    def number(self, words: np.ndarray) -> np.ndarray:
-        if not len(self.vocabulary):
-            return np.zeros(len(words), np.int64)
-        at = np.searchsorted(self.vocabulary, words)
-        at[at == len(self.vocabulary)] = 0
-        return np.where(self.vocabulary[at] == words, at + 1, 0)
+    def _vocabulary(self, parts: list[Chunk]) -> None:
+        """The distinct words, by their hashes: numbers from 1, and their bytes."""
+        found: dict[int, bytes] = {}
+        for c in parts:
+            h, at = np.unique(c.hashes(), return_index=True)
+            lower = FOLD[c.bytes]
+            for k, a, b in zip(h.tolist(), c.start[at].tolist(), c.end[at].tolist(), strict=True):
+                w = lower[a:b].tobytes()
+                if found.setdefault(k, w) != w:
+                    raise ValueError(f"the words {found[k]!r} and {w!r} of the benchmark have one hash")
+        self.hashes = np.array(sorted(found), np.uint64)
+        texts = [found[int(h)] for h in self.hashes]
+        self.bytes = np.frombuffer(b"".join(texts), np.uint8)
+        self.sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.starts = np.cumsum(self.sizes) - self.sizes
+
+    def number(self, chunk: Chunk) -> np.ndarray:
+        """For each word of the chunk its number, or 0 where no item has these very bytes."""
+        out = np.zeros(len(chunk.start), np.int64)
+        if not len(self.hashes) or not len(out):
+            return out
+        h = chunk.hashes()
+        at = np.searchsorted(self.hashes, h)
+        at[at == len(self.hashes)] = 0
+        size = chunk.end - chunk.start
+        can = np.flatnonzero((self.hashes[at] == h) & (self.sizes[at] == size))
+        if not len(can):
+            return out
+        n = size[can]
+        same = FOLD[chunk.bytes[ranges(chunk.start[can], n)]] == self.bytes[ranges(self.starts[at[can]], n)]
+        ok = np.logical_and.reduceat(same, np.cumsum(n) - n)
+        out[can[ok]] = at[can[ok]] + 1
+        return out
+
+    def _suffixes(self, numbers: np.ndarray, lengths: np.ndarray, owner: np.ndarray) -> None:
+        """All suffixes of the items in full order; each item ends in zeros, so that a suffix ends with its item."""
+        self.owner, self.lengths = owner, lengths
+        padded = lengths + WINDOW
+        self.first = np.cumsum(padded) - padded
+        self.words = np.zeros(int(padded.sum()) + 1, np.int64)
+        at = ranges(self.first, lengths)
+        self.words[at] = numbers
+        self.item_of = np.repeat(np.arange(len(lengths)), padded)
+        rank, span = self.words, 1
+        while len(at):
+            both = rank[at] * (len(at) + len(self.hashes) + 2) + np.where(at + span < len(rank), rank[np.minimum(at + span, len(rank) - 1)], 0)
+            _, dense = np.unique(both, return_inverse=True)
+            new = np.zeros(len(rank), np.int64)
+            new[at] = dense.ravel() + 1
+            rank, span = new, span * 2
+            if int(rank.max()) == len(at) or span >= int(lengths.max()):
+                break
+        self.array = at[np.argsort(rank[at], kind="stable")]
+
+    def longest(self, words: np.ndarray, p: int) -> tuple[int, int, int]:
+        """The longest match of the words from p on: (item, place in the item, words)."""
+        lo, hi, d = 0, len(self.array), 0
+        while True:
+            if hi - lo == 1:
+                # one suffix is left: compare on to the first difference
+                b, step = int(self.array[lo]), 64
+                while n := min(step, len(words) - p - d, len(self.words) - b - d):
+                    x, y = words[p + d : p + d + n], self.words[b + d : b + d + n]
+                    differ = np.flatnonzero((x != y) | (x == 0))
+                    if len(differ):
+                        d += int(differ[0])
+                        break
+                    d, step = d + n, step * 2
+                break
+            w = int(words[p + d]) if p + d < len(words) else 0
+            if not w:
+                break
+            if self.words[self.array[lo] + d] == w == self.words[self.array[hi - 1] + d]:
+                d += 1
+                continue
+            low, high = self._bound(lo, hi, d, w), self._bound(lo, hi, d, w + 1)
+            if low == high:
+                break
+            lo, hi, d = low, high, d + 1
+        at = self.array[lo:hi]
+        items = self.item_of[at]
+        k = int(np.lexsort((at, self.owner[items]))[0]) if hi - lo > 1 else 0
+        return int(self.owner[items[k]]), int(at[k] - self.first[items[k]]), d
+
+    def _bound(self, lo: int, hi: int, d: int, w: int) -> int:
+        while lo < hi:
+            mid = (lo + hi) // 2
+            if self.words[self.array[mid] + d] < w:
+                lo = mid + 1
+            else:
+                hi = mid
+        return lo
 
 
 def suffix_array(words: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -106,159 +212,229 @@ def search(words: np.ndarray, array: np.ndarray, queries: np.ndarray) -> tuple[n
     return bound(False), bound(True)
 
 
-def shard_hits(chunk: Chunk, index: Index) -> tuple[np.ndarray, ...]:
-    """Every occurrence of a test window in the chunk: (row, place in the row, item, place in the item, words)."""
-    none = tuple(np.empty(0, np.int64) for _ in range(5))
-    if not len(chunk.start) or not index.tests:
-        return none
-    own = index.number(chunk.hashes())
-    # texts are set apart by zeros, so that no window crosses from one into the next
-    words = np.zeros(len(own) + (len(chunk.texts) + 1) * WINDOW, np.int64)
-    at = np.arange(len(own)) + chunk.row * WINDOW
-    words[at] = own
-    zero = np.flatnonzero(words == 0)
-    ahead = zero[np.searchsorted(zero, at)] - at  # benchmark words from here on
-    can = ahead >= index.shortest
-    places = at[can]
-    if not len(places):
-        return none
-    array = suffix_array(words, places)
-    found: list[tuple[np.ndarray, ...]] = []
-    for m, queries, item, place in index.tests:
-        lo, hi = search(words, array, queries)
-        hit = np.flatnonzero(hi > lo)
-        n = (hi - lo)[hit]
-        which = np.repeat(hit, n)
-        slot = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + lo[which]
-        p = array[slot]
-        # back from padded places to words of the row
-        k = np.searchsorted(at, p)
-        row = chunk.row[k]
-        found.append((row, k - chunk.offset[row], item[which], place[which], np.full(len(which), m)))
-    return tuple(np.concatenate([f[i] for f in found]) for i in range(5))
-
-
-def longest(hits: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-    """Joins hits that continue each other into maximal verbatim matches: (row, item, start, length)."""
-    row, place, item, at, m = hits
-    order = np.lexsort((place, place - at, item, row))
-    row, place, item, at, m = (x[order] for x in (row, place, item, at, m))
-    new = np.ones(len(row), bool)
-    new[1:] = (row[1:] != row[:-1]) | (item[1:] != item[:-1]) | ((place - at)[1:] != (place - at)[:-1]) | (place[1:] != place[:-1] + 1)
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(row)) - 1 if len(row) else first
-    return row[first], item[first], place[first], place[last] + m[last] - place[first]
+class Hits:
+    """Where windows of the index occur in a chunk: for each hit its row, place in the row, words, and window."""
+
+    def __init__(self, chunk: Chunk, index: Index):
+        self.chunk, self.index = chunk, index
+        self.row = self.place = self.size = self.window = np.empty(0, np.int64)
+        if not len(chunk.start) or not index.tests:
+            return
+        own = index.number(chunk)
+        # texts are set apart by zeros, so that no window crosses from one into the next
+        words = np.zeros(len(own) + (len(chunk.texts) + 1) * WINDOW, np.int64)
+        at = np.arange(len(own)) + chunk.row * WINDOW
+        words[at] = own
+        self.words, self.at = words, at
+        zero = np.flatnonzero(words == 0)
+        places = at[zero[np.searchsorted(zero, at)] - at >= index.shortest]
+        if not len(places):
+            return
+        array = suffix_array(words, places)
+        present = np.zeros(len(index.hashes) + 1, bool)
+        present[own] = True
+        found: list[tuple[np.ndarray, ...]] = []
+        for m, windows, first in index.tests:
+            could = np.flatnonzero(present[windows].all(axis=1))
+            lo, hi = search(words, array, windows[could])
+            n = hi - lo
+            p = array[ranges(lo, n)]
+            found.append((p, np.full(len(p), m), np.repeat(could + first, n)))
+        p, self.size, self.window = (np.concatenate([f[k] for f in found]) for k in range(3))
+        k = np.searchsorted(at, p)  # back from padded places to words of the row
+        self.row = chunk.row[k]
+        self.place = k - chunk.offset[self.row]
+        order = np.lexsort((-self.size, self.place, self.row))
+        self.row, self.place, self.size, self.window = (x[order] for x in (self.row, self.place, self.size, self.window))
+
+    def windows(self) -> Iterator[tuple[int, np.ndarray]]:
+        """(row, its distinct windows) for each row with hits."""
+        if len(self.row):
+            total = int(self.window.max()) + 1
+            both = np.unique(self.row * total + self.window)
+            rows = both // total
+            cuts = [0, *(np.flatnonzero(rows[1:] != rows[:-1]) + 1).tolist(), len(both)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield int(rows[a]), both[a:b] % total
+
+    def items(self, windows: np.ndarray) -> np.ndarray:
+        """The numbers of the items that any of the windows is of."""
+        i = self.index
+        return np.unique(i.posts[ranges(i.offsets[windows], i.offsets[windows + 1] - i.offsets[windows])])
+
+    def covered(self) -> Iterator[tuple[int, int, int]]:
+        """(row, first word, words) of each stretch of hit words."""
+        end = self.place + self.size
+        if not len(end):
+            return
+        # rows are set apart, so that the furthest end so far never reaches into the next row
+        far = int(end.max()) + 1
+        reach = np.maximum.accumulate(end + self.row * far)
+        new = np.ones(len(end), bool)
+        new[1:] = self.place[1:] + self.row[1:] * far > reach[:-1]
+        new[1:] |= self.row[1:] != self.row[:-1]
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(end)) - 1
+        yield from zip(self.row[first].tolist(), self.place[first].tolist(), (reach[last] - self.row[first] * far - self.place[first]).tolist(), strict=True)
+
+    def matches(self) -> Iterator[tuple[int, int, int, int, int]]:
+        """(row, item, place in it, first word, words) of longest verbatim matches, which cover all hits."""
+        row, upto = -1, 0
+        for r, p, m in zip(self.row.tolist(), self.place.tolist(), self.size.tolist(), strict=True):
+            if r != row:
+                row, upto = r, 0
+            if p + m <= upto:
+                continue
+            if m == WINDOW:
+                item, place, n = self.index.longest(self.words, int(self.at[self.chunk.offset[r] + p]))
+            else:
+                k = int(self.at[self.chunk.offset[r] + p])
+                item, place, n = self._short(k, m)
+            upto = max(upto, p + n)
+            yield r, item, place, p, n
+
+    def _short(self, k: int, m: int) -> tuple[int, int, int]:
+        """An item of fewer words than a window, as a whole."""
+        windows, first = next((w, f) for size, w, f in self.index.tests if size == m)
+        at = first + int(np.flatnonzero((windows == self.words[k : k + m]).all(axis=1))[0])
+        return int(self.index.posts[self.index.offsets[at]]), 0, m
 
 
 def _find(index: Index, more: bool):
-    """One pass over (id, text) or, from the second block on, (id, text, spans); more: another pass will follow."""
-    kind = pa.list_(pa.struct([("item", pa.string()), ("start", pa.int32()), ("length", pa.int32())]))
+    """One pass over (id, text) or, from the second block on, (id, text, n_words, items, hits, spans); more: another pass
+    will follow, which needs the texts."""
+    span = pa.struct([("item", pa.string()), ("place", pa.int32()), ("start", pa.int32()), ("length", pa.int32())])
+    kinds = {"n_words": pa.int64(), "items": pa.list_(pa.string()), "hits": pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])), "spans": pa.list_(span)}
+    last: dict[bytes, list[str]] = {}
+
+    def names(hits: Hits, windows: np.ndarray) -> list[str]:
+        key = windows.tobytes()
+        if key not in last:
+            last.clear()  # passages come in groups; one list is kept
+            last[key] = [index.names[k] for k in hits.items(windows).tolist()]
+        return last[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array(index.names, pa.string())
         for batch in small(batches):
-            counts, items, starts, lengths, n_words = [], [], [], [], []
-            for c in chunks(column_bytes(batch.column("text")), LETTERS):
-                row, item, start, length = longest(shard_hits(c, index))
-                counts.append(np.bincount(row, minlength=len(c.texts)))
-                items.append(item)
-                starts.append(start)
-                lengths.append(length)
-                n_words.append(np.diff(c.offset))
-            cat = lambda x, t: pa.array(np.concatenate(x).astype(t)) if x else pa.array([], pa.from_numpy_dtype(t))
-            offsets = pa.array(np.concatenate(([0], np.cumsum(np.concatenate(counts)))).astype(np.int32) if counts else [0], pa.int32())
-            values = pa.StructArray.from_arrays([names.take(cat(items, np.int64)), cat(starts, np.int32), cat(lengths, np.int32)], ["item", "start", "length"])
-            spans = pa.ListArray.from_arrays(offsets, values, type=kind)
-            if "spans" in batch.schema.names:
-                spans = pa.array([a + b for a, b in zip(batch.column("spans").to_pylist(), spans.to_pylist(), strict=True)], kind)
-            own = {"id": batch.column("id")} | ({"text": batch.column("text")} if more else {}) | {"n_words": cat(n_words, np.int64), "spans": spans}
-            yield pa.RecordBatch.from_arrays(list(own.values()), names=list(own))
+            first, held = 0, []
+            before = {k: batch.column(k).to_pylist() for k in kinds} if "n_words" in batch.schema.names else None
+
+            def flush(upto: int) -> pa.RecordBatch:
+                own = {"id": batch.column("id").slice(first, upto - first)} | ({"text": batch.column("text").slice(first, upto - first)} if more else {})  # noqa: B023
+                own |= {k: pa.array([r[k] for r in held], kind) for k, kind in kinds.items()}  # noqa: B023
+                return pa.RecordBatch.from_arrays(list(own.values()), names=list(own))
+
+            size, row = 0, 0
+            for c in chunks(column_bytes(batch.column("text")), LETTERS, most=SHARD):
+                hits = Hits(c, index)
+                items = {r: names(hits, w) for r, w in hits.windows()} if len(hits.row) < FLUSH else None
+                windows = dict(hits.windows()) if items is None else {}
+                stretches: dict[int, list] = {}
+                for r, p, n in hits.covered():
+                    stretches.setdefault(r, []).append({"start": p, "length": n})
+                spans: dict[int, list] = {}
+                for r, item, place, p, n in hits.matches():
+                    spans.setdefault(r, []).append({"item": index.names[item], "place": place, "start": p, "length": n})
+                for r, n in enumerate(np.diff(c.offset).tolist()):
+                    got = items.get(r, []) if items is not None else names(hits, windows[r]) if r in windows else []
+                    new = {"n_words": n, "items": got, "hits": stretches.get(r, []), "spans": spans.get(r, [])}
+                    held.append(new if before is None else joined({k: before[k][row] for k in kinds}, new))
+                    size, row = size + len(got), row + 1
+                    if size >= FLUSH:
+                        yield flush(row)
+                        first, held, size = row, [], 0
+            if held:
+                yield flush(row)
 
     return run
 
 
-def blocks_of(benchmark: DataFrame, item_col: str, text_col: str) -> list[Index]:
-    """The benchmark on the driver, one block of bounded size at a time; two blocks at once are never sent out."""
-    out, held, size = [], [], 0
+def joined(a: dict, b: dict) -> dict:
+    """What two blocks of the benchmark found in one document."""
+    hits: list[dict] = []
+    for h in sorted(a["hits"] + b["hits"], key=lambda h: (h["start"], h["length"])):
+        end = hits[-1]["start"] + hits[-1]["length"] if hits else -1
+        if h["start"] <= end:
+            hits[-1]["length"] = max(end, h["start"] + h["length"]) - hits[-1]["start"]
+        else:
+            hits.append(dict(h))
+    spans = sorted(a["spans"] + b["spans"], key=lambda s: (s["start"], -s["length"], s["item"]))
+    return {"n_words": b["n_words"], "items": sorted({*a["items"], *b["items"]}), "hits": hits, "spans": spans}
+
+
+def blocks_of(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[Index, bool]]:
+    """(index, whether more follow) of each block of the benchmark. Blocks are dealt by the items' ids and written by the
+    executors; the driver holds one at a time."""
     rows = benchmark.select(F.col(item_col).cast("string").alias("k"), F.col(text_col).cast("binary").alias("t")).where("k is not null and octet_length(t) > 0")
-    for k, t in sorted((r.k, bytes(r.t)) for r in rows.toLocalIterator()):
-        if held and size + len(t) > BLOCK_BYTES:
-            out.append(Index(held))
-            held, size = [], 0
-        held.append((k, t))
-        size += len(t)
-    return [*out, Index(held)]
+    total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    n = max(1, -(-total // BLOCK_BYTES))
+    read = lambda df: Index([(r.k, bytes(r.t)) for r in df.select("k", "t").toLocalIterator()])
+    if n == 1:
+        yield read(rows), False
+        return
+    scratch = Scratch(benchmark.sparkSession, "benchmark")
+    dealt = scratch.table(rows.withColumn("block", F.pmod(F.xxhash64("k"), F.lit(n)).cast("int")).repartition(n, "block").sortWithinPartitions("block"))
+    for k in range(n):
+        yield read(dealt.where(F.col("block") == k)), k + 1 < n
+    scratch.clear()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id_col, n_words, spans): every longest verbatim match as (item, first word, words), for each row of docs."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    id_type = rows.schema["id"].dataType.simpleString()
-    indexes = blocks_of(benchmark, item_col, item_text)
-    done = rows
-    for k, index in enumerate(indexes):
-        more = k + 1 < len(indexes)
-        done = done.drop("n_words").mapInArrow(_find(index, more), f"id {id_type}, {'text string, ' if more else ''}n_words long, spans {SPANS}")
-    return done.withColumnRenamed("id", id_col)
-
-
-def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in small(batches):
-        spans = batch.column("spans")
-        offsets = spans.offsets.to_numpy().tolist()
-        flat = spans.values
-        item, start, length = flat.field("item").to_pylist(), flat.field("start").to_numpy(), flat.field("length").to_numpy()
-        n_hit, n_items, sha = [], [], []
-        empty = hashlib.sha256(b"").hexdigest()
-        for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-            if a == b:
-                n_hit.append(0), n_items.append(0), sha.append(empty)
-                continue
-            order = np.argsort(start[a:b], kind="stable")
-            s, e = start[a:b][order], (start[a:b] + length[a:b])[order]
-            reach = np.maximum.accumulate(e)
-            before = np.concatenate(([0], reach[:-1]))
-            n_hit.append(int(np.maximum(0, e - np.maximum(s, before)).sum()))
-            names = sorted(set(item[a:b]))
-            n_items.append(len(names))
-            sha.append(hashlib.sha256(",".join(names).encode()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("n_words"), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(sha, pa.string())], names=["id", "n_words", "n_hit", "n_items", "items_sha256"])
+    """For each row of docs: id_col, n_words, items (the ids of items with a window in it, sorted), hits (stretches of hit
+    words: first word, words) and spans (longest verbatim matches: the least item that has it, its place there, first
+    word, words).
+
+    A computed column that would have the id column's name gets underscores after it.
+    """
+    done = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    id_type = done.schema["id"].dataType.simpleString()
+    scratch = None
+    for index, more in blocks_of(benchmark, item_col, item_text):
+        done = done.mapInArrow(_find(index, more), f"id {id_type}, {'text string, ' if more else ''}{FOUND}")
+        if more:  # written, so that the driver need not hold this block any longer
+            scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
+            done = scratch.table(done)
+    names = [free(f.name, (id_col,)) for f in done.schema.fields[1:]]
+    return done.toDF(id_col, *names)
 
 
 def report(found: DataFrame, id_col: str = "doc_id", least_items: int = 2) -> DataFrame:
     """Digest of ``matches``: n_words, n_hit, n_items, items_sha256, contaminated (n_items >= least_items)."""
-    kind = found.schema[id_col].dataType.simpleString()
-    out = found.withColumnRenamed(id_col, "id").select("id", "n_words", "spans").mapInArrow(_report, f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string")
-    return out.withColumnRenamed("id", id_col).withColumn("contaminated", F.col("n_items") >= least_items)
+    return found.select(
+        F.col(id_col),
+        F.col("n_words"),
+        F.expr("aggregate(hits, 0L, (n, h) -> n + h.length)").alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.size("items") >= least_items).alias("contaminated"),
+    )
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, least_items: int = 1, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows, with all their columns, in which windows of fewer than ``least_items`` items occur.
 
-    With several blocks of items, the items found so far go along in a column of a name that docs does not have.
+    With several blocks of items, the number found so far goes along in a column of a name that docs does not have.
     """
-    at, kind = docs.columns.index(text_col), docs.schema
-    count = "_items"
-    while count in docs.columns:
-        count += "_"
-    indexes = blocks_of(benchmark, item_col, item_text)
+    at, kind, count = docs.columns.index(text_col), docs.schema, free("_items", docs.columns)
 
     def items(index: Index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in small(batches):
-                found = []
-                for c in chunks(column_bytes(batch.column(at)), LETTERS):
-                    row, _, item, _, _ = shard_hits(c, index)
-                    pairs = np.unique(np.stack([row, item]), axis=1)
-                    found.append(np.bincount(pairs[0], minlength=len(c.texts)))
-                n = np.concatenate(found) if found else np.empty(0, np.int64)
+                n = np.zeros(batch.num_rows, np.int64)
+                for c in chunks(column_bytes(batch.column(at)), LETTERS, most=SHARD):
+                    hits = Hits(c, index)
+                    for r, windows in hits.windows():
+                        n[c.first + r] = len(hits.items(windows))
                 if batch.num_columns > len(kind):
                     n = n + batch.column(len(kind)).to_numpy()
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(kind)], pa.array(n, pa.int64())], names=[*kind.names, count])
 
         return run
 
-    out = docs
-    for index in indexes:
+    out, scratch = docs, None
+    for index, more in blocks_of(benchmark, item_col, item_text):
         out = out.mapInArrow(items(index), StructType([*kind.fields, StructField(count, LongType())]))
+        if more:
+            scratch = scratch or Scratch(docs.sparkSession, "decontaminate")
+            out = scratch.table(out)
     return out.where(F.col(count) < least_items).drop(count)

@@ -105,11 +105,11 @@ def column_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def chunks(texts: list[bytes], kind: np.ndarray, latin: bool = False) -> Iterator[Chunk]:
-    """latin: accented Latin letters are lower-cased too."""
+def chunks(texts: list[bytes], kind: np.ndarray, latin: bool = False, most: int = CHUNK) -> Iterator[Chunk]:
+    """latin: accented Latin letters are lower-cased too. most: bytes of a chunk of several texts."""
     first, size = 0, 0
     for i, t in enumerate(texts):
-        if i > first and size + len(t) > CHUNK:
+        if i > first and size + len(t) > most:
             yield Chunk(texts[first:i], first, kind, latin)
             first, size = i, 0
         size += len(t) + 1

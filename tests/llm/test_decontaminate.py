@@ -1,8 +1,13 @@
+import os
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
+import pytest
 from compare import check
+from test_near_dup import thue_morse
 
 from foliant.llm import decontaminate, queries
 
@@ -58,9 +63,13 @@ def test_against_brute_force(spark, monkeypatch):
         monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
         found, d, b = run(spark, docs, items)
         rows = {r.doc_id: r for r in found.collect()}
+        texts, known = dict(docs), {str(k): words(t) for k, t in items}
         for k, r in rows.items():
-            assert sorted({s.item for s in r.spans}) == want[k][2]
-            assert len({p for s in r.spans for p in range(s.start, s.start + s.length)}) == want[k][1]
+            assert r["items"] == want[k][2]
+            assert len({p for h in r.hits for p in range(h.start, h.start + h.length)}) == want[k][1]
+            assert {p for h in r.hits for p in range(h.start, h.start + h.length)} <= {p for s in r.spans for p in range(s.start, s.start + s.length)}
+            for s in r.spans:  # each is a verbatim match, and goes on in no item
+                assert words(texts[k])[s.start : s.start + s.length] == known[s.item][s.place : s.place + s.length]
         report = {r.doc_id: r for r in decontaminate.report(found).collect()}
         assert {k: (r.n_words, r.n_hit, r.n_items, r.contaminated) for k, r in report.items()} == {k: (n, h, len(i), len(i) >= 2) for k, (n, h, i) in want.items()}
         assert sorted(r.doc_id for r in decontaminate.clean(d, b).collect()) == sorted(k for k, v in want.items() if not v[2])
@@ -100,12 +109,69 @@ def test_longest_match(spark):
     item = " ".join(f"t{k}" for k in range(40))
     text = "a b c " + " ".join(f"t{k}" for k in range(5, 30)) + " d e"
     (r,) = run(spark, [(1, text)], [(7, item)])[0].collect()
-    assert [(s.item, s.start, s.length) for s in r.spans] == [("7", 3, 25)]
+    assert [(s.item, s.place, s.start, s.length) for s in r.spans] == [("7", 5, 3, 25)]
+
+
+def test_longest_against_brute_force(spark):
+    """Greedy cover: each match is the longest from its start over all items."""
+    r = random.Random(3)
+    v = [f"w{k}" for k in range(3)]
+    items = [(k, " ".join(r.choice(v) for _ in range(r.randrange(8, 60)))) for k in range(30)]
+    docs = [(k, " ".join(r.choice([*v, "zz"][: 3 + (r.random() < 0.3)]) for _ in range(200))) for k in range(30)]
+    known = [words(t) for _, t in items]
+    texts = {k: words(t) for k, t in docs}
+    for row in run(spark, docs, items)[0].collect():
+        w = texts[row.doc_id]
+        for s in row.spans:
+            best = max((next((n for n in range(len(w) - s.start + 1) if w[s.start : s.start + n] != x[p : p + n] or p + n > len(x)), len(w) - s.start + 1) - 1 for x in known for p in range(len(x))), default=0)
+            assert s.length == best >= 8
+
+
+def test_words_that_collide_in_polynomials(spark):
+    a, b = thue_morse()
+    (r,) = decontaminate.report(run(spark, [(1, a)], [(7, b)])[0]).collect()
+    assert (r.n_hit, r.n_items) == (0, 0)
+    (r,) = decontaminate.report(run(spark, [(1, a.upper())], [(7, a)])[0]).collect()
+    assert (r.n_hit, r.n_items) == (1, 1)
+
+
+@pytest.mark.parametrize("case", ["long run", "many items"])
+def test_repetition_stays_in_memory(case):
+    """One word many times over on both sides; one passage in very many items and documents. Each under 1 GB."""
+    code = f"""
+import resource, sys
+resource.setrlimit(resource.RLIMIT_AS, (3 << 30, 3 << 30))
+import pyarrow as pa
+from foliant.llm.decontaminate import Index, _find
+if {case!r} == "long run":
+    index, texts, want = Index([("x", b"a " * 4000)]), ["a " * 32000], (1, 32000)
+else:
+    passage = " ".join(f"p{{k}}" for k in range(10))
+    index, texts, want = Index([(str(k), passage.encode()) for k in range(20000)]), [f"x {{passage}} y"] * 1000, (20000, 10)
+start = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+n = 0
+for out in _find(index, False)(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])])):
+    for i, h in zip(out.column("items"), out.column("hits").to_pylist()):
+        assert (len(i), sum(x["length"] for x in h)) == want
+        n += 1
+assert n == len(texts)
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 1 << 20, "over 1 GB"
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, env=os.environ | {"OPENBLAS_NUM_THREADS": "1"})
+
+
+def test_an_id_counts_once(spark):
+    a, b = " ".join("abcdefgh"), " ".join("ijklmnop")
+    d = spark.createDataFrame([(1, f"{a} {b}")], "doc_id long, text string")
+    one = spark.createDataFrame([("k", a), ("k", b), (None, a)], "item_id string, text string")
+    two = spark.createDataFrame([("k", a), ("l", a)], "item_id string, text string")
+    assert decontaminate.clean(d, one, least_items=2).count() == 1 and decontaminate.clean(d, two, least_items=2).count() == 0
+    assert decontaminate.matches(d, one).first()["items"] == ["k"]
 
 
 def test_empty_tables(spark):
     found, d, b = run(spark, [(1, "x")], [(1, None)])
-    assert found.collect()[0].spans == [] and decontaminate.clean(d, b.limit(0)).count() == 1
+    assert found.collect()[0].spans == found.collect()[0].hits == [] and decontaminate.clean(d, b.limit(0)).count() == 1
     assert decontaminate.report(decontaminate.matches(d.limit(0), b)).collect() == []
 
 
