@@ -10,9 +10,12 @@ from __future__ import annotations
 import html
 import re
 
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark picture q rp rt ruby s samp small source span strike strong sub sup time track tt u var wbr br".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark picture q rp rt ruby s samp small source span strike strong sub sup time track tt u var wbr br math semantics mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup mover munder munderover mtable mtr mtd mspace mstyle mpadded mphantom menclose".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template svg math iframe object canvas head title audio video map".split())
+#: Never shown, or (object, canvas, audio, video) only where a browser lacks the element.
+HIDDEN = frozenset("script style noscript template svg annotation annotation-xml iframe object canvas head title audio video map".split())
+#: What may stand in a head; any other start tag, and text, ends it.
+IN_HEAD = frozenset("title meta link base style script noscript template basefont bgsound".split())
 RAW = frozenset("script style textarea title iframe noscript xmp".split())
 #: A start tag ends these open elements, up to the nearest of the stops.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
@@ -86,6 +89,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             skip_to = ""
         m = _TOKEN.search(page, at)
         upto = m.start() if m else n
+        if hide == ["head"] and page[at:upto].strip():
+            hide.clear()
         if upto > at and not hide:
             piece = page[at:upto]
             text.append(piece)
@@ -112,7 +117,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 close({tag}, STOPS - {tag} if tag not in ("p", "li") else STOPS | {"ul", "ol"} - {tag})
             continue
         if hide:
-            if hide == ["head"] and tag == "body":
+            if hide == ["head"] and tag not in IN_HEAD:
                 hide.clear()
             elif tag in HIDDEN and tag not in VOID and not m[3].endswith("/"):
                 hide.append(tag)
@@ -124,7 +129,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if tag in HIDDEN:
             if tag not in INLINE and tag != "script":
                 flush()
-            if not (m[3].endswith("/") and tag in ("svg", "math")):
+            if not (m[3].endswith("/") and tag == "svg"):
                 hide.append(tag)
                 if tag in RAW:
                     skip_to = tag

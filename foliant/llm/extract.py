@@ -6,6 +6,8 @@ with its siblings. The trees give a log-odds of belonging to the article. Decodi
 whole tree in which everything under a dropped node is dropped and everything above a kept node is kept.
 
 The trees are trained on ``PAGES`` invented pages (``page_maker``), whose main text is known; the same on every run.
+A header, list, table or caption of the article itself is part of it, and so is a paragraph full of links. Elements that
+only wrap another one count for nothing, however many they are.
 Text: the kept blocks in page order, character references decoded, white space inside a block made one space, joined
 by line feeds. Null and empty pages, and pages without a kept block, give the empty text. Repeated rows get equal
 results; null ids are kept.
@@ -26,10 +28,11 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from .boosting import Boosted
 from .dom import Node, parse
 from .page_maker import Maker
+from .store import free
 from .words import small
 
-PAGES = 1600
-N_FEATURES = 30
+PAGES = 3200
+N_FEATURES = 31
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 
 
@@ -46,7 +49,8 @@ def features(nodes: list[Node], blocks: list[tuple[int, str]], tag_odds: dict[st
     for k, v in enumerate(nodes):
         own[1, k], own[2, k], own[3, k] = v.links, v.inline, v.controls
     below = own.copy()
-    size = np.ones(n)
+    wraps = wrappers(nodes, blocks)
+    size = (~wraps).astype(float)
     paragraphs = np.fromiter((v.tag == "p" for v in nodes), float, n)
     items = np.fromiter((v.tag == "li" for v in nodes), float, n)
     children = np.zeros(n)
@@ -59,10 +63,11 @@ def features(nodes: list[Node], blocks: list[tuple[int, str]], tag_odds: dict[st
         children[p] += 1
     tag = np.fromiter((tag_odds.get(v.tag, 0.0) for v in nodes), float, n)
     token = np.fromiter((min(max(sum(token_odds.get(t, 0.0) for t in v.tokens), -6), 6) for v in nodes), float, n)
-    least_tag, least_token, most_token = tag.copy(), token.copy(), token.copy()
+    least_tag, most_tag, least_token, most_token = tag.copy(), tag.copy(), token.copy(), token.copy()
     for k in range(1, n):
         p = parent[k]
         least_tag[k] = min(tag[k], least_tag[p])
+        most_tag[k] = max(tag[k], most_tag[p])
         least_token[k] = min(token[k], least_token[p])
         most_token[k] = max(token[k], most_token[p])
     up = np.maximum(parent, 0)
@@ -94,7 +99,11 @@ def features(nodes: list[Node], blocks: list[tuple[int, str]], tag_odds: dict[st
     x[:, 13] = below[4] / np.maximum(1, below[6])
     x[:, 14] = np.log1p(below[3])
     x[:, 15] = np.minimum(below[7], 3)
-    x[:, 16] = [v.depth for v in nodes]
+    # wrappers do not count as depth, nor what is deeper than any page of the training
+    depth = np.zeros(n)
+    for k in range(1, n):
+        depth[k] = depth[parent[k]] + (not wraps[parent[k]])
+    x[:, 16] = np.minimum(depth, 16)
     x[:, 17] = np.fromiter((v.index for v in nodes), float, n) / np.maximum(1, children[up])
     x[:, 18] = np.log1p(children[up])
     x[:, 19] = np.log1p(children)
@@ -108,9 +117,17 @@ def features(nodes: list[Node], blocks: list[tuple[int, str]], tag_odds: dict[st
     x[:, 27] = np.log1p(below[6] / np.maximum(1, below[5]))
     x[:, 28] = [v.tag in HEADINGS for v in nodes]
     x[:, 29] = below[3] / np.maximum(1, size)
+    x[:, 30] = most_tag
     return x
 
 
+def wrappers(nodes: list[Node], blocks: list[tuple[int, str]]) -> np.ndarray:
+    """Which elements only wrap one other: no text and no sibling inside, and neither tag nor attributes tell anything."""
+    out = np.fromiter((v.tag in ("div", "center", "#root", "html", "body") and v.own == 0 and (not v.tokens or v.tokens == ["x"]) for v in nodes), bool, len(nodes))
+    children = np.bincount([v.parent for v in nodes[1:]], minlength=len(nodes)) if len(nodes) > 1 else np.zeros(len(nodes), np.int64)
+    return out & (children == 1)
+
+
 def decode(parent: np.ndarray, margin: np.ndarray) -> np.ndarray:
     """The likeliest labels in which a dropped node's descendants are dropped; parents stand before their children."""
     keep_p, drop_p = -np.logaddexp(0, -margin), -np.logaddexp(0, margin)
@@ -163,6 +180,7 @@ class Extractor:
         if not parsed:
             return []
         margin = self.trees.margin(np.concatenate([features(nodes, blocks, self.tag_odds, self.token_odds) for nodes, blocks in parsed]))
+        margin[np.concatenate([wrappers(nodes, blocks) for nodes, blocks in parsed])] = 0  # they go as what they wrap goes
         out, at = [], 0
         for nodes, _ in parsed:
             out.append(decode(np.fromiter((v.parent for v in nodes), np.int64, len(nodes)), margin[at : at + len(nodes)]))
@@ -183,14 +201,17 @@ def extractor() -> Extractor:
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", model: Extractor | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id_col, text, n_chars) for every row, and the columns named in ``keep``, which must have other names."""
+    """(id_col, text, n_chars) for every row, and the columns named in ``keep``. A computed column whose name is taken by
+    one of those gets underscores after it."""
     m = model or extractor()
-    rows = pages.select(id_col, *keep, F.col(html_col).alias("_html"))
+    own_names = [id_col, *(k for k in keep if k != id_col)]
+    rows = pages.select(*own_names, F.col(html_col).alias(free("_html", own_names)))
     own = rows.schema.fields[:-1]
+    text_name, chars_name = free("text", own_names), free("n_chars", own_names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             texts = m.texts(batch.column(len(own)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*(f.name for f in own), "text", "n_chars"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*own_names, text_name, chars_name])
 
-    return rows.mapInArrow(run, StructType([*own, StructField("text", StringType()), StructField("n_chars", LongType())]))
+    return rows.mapInArrow(run, StructType([*own, StructField(text_name, StringType()), StructField(chars_name, LongType())]))

@@ -4,7 +4,9 @@ Every language has a codeword; for each bit a logistic classifier over hashed by
 on which side the text's language stands. Decoding picks the codeword of least loss, each bit weighted by how well its
 classifier did on rows kept back from training. The margin to the second codeword flags ambiguous texts.
 
-Training takes at most ``PER_LANGUAGE`` rows of each language, chosen by the hash of their id. Null texts, and texts
+Training takes at most ``PER_LANGUAGE`` rows of each of the ``LANGUAGES`` most frequent languages and ``ROWS`` of all, chosen
+by the hash of their id; the driver gets their texts part by part and keeps features of a fixed size, 160 MB at most.
+Null texts, and texts
 without a letter, are ``und`` with score 0. Rows of null language are not learned from. With no language to learn from
 every text is ``und``; with one, every text with a letter is that language. Repeated rows get equal results; further
 columns are carried by no function here but ``predict``'s id.
@@ -12,17 +14,20 @@ columns are carried by no function here but ``predict``'s id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import bounded_sample
+from .store import thinned
 from .words import FOLD, column_bytes, small
 
 PER_LANGUAGE = 800
+LANGUAGES = 400
+#: Rows of all languages to learn from: 25 KB of features each.
+ROWS = 6400
 BUCKETS = 2048
 DIM = 256 + 3 * BUCKETS
 #: Least difference of two codewords' probabilities that counts as certain.
@@ -68,7 +73,8 @@ def codewords(n: int) -> np.ndarray:
         code = rng.choice(np.array([-1, 1], np.int8), (n, length))
         if (abs(code.sum(axis=0)) == n).any():
             continue
-        apart = min((code[i] != code[j]).sum() for i in range(n) for j in range(i))
+        alike = code.astype(np.int32) @ code.T.astype(np.int32)
+        apart = int(length - (alike - 2 * length * np.eye(n, dtype=np.int32)).max()) // 2
         if apart > far:
             best, far = code, apart
     return best
@@ -88,13 +94,14 @@ def logistic_bits(x: np.ndarray, y: np.ndarray, steps: int = 120, ridge: float =
 
 
 class Model:
-    def __init__(self, texts: list[bytes], langs: list[str]):
+    def __init__(self, texts: Iterable[bytes], langs: list[str]):
+        """texts may be features already."""
         self.langs = sorted(set(langs))
         self.code = codewords(len(self.langs))
         self.w = self.b = None
         if len(self.langs) < 2:
             return
-        x = np.stack([features(t) for t in texts])
+        x = np.stack([features(t) if isinstance(t, bytes) else t for t in texts])
         y = self.code[[self.langs.index(k) for k in langs]].astype(np.float32)
         back = np.arange(len(x)) % 5 == 4
         if back.sum() < 5:
@@ -130,8 +137,11 @@ class Model:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = PER_LANGUAGE) -> Model:
     """Fits on at most about ``most`` rows of each language of the rows given; pass in the rows that may be learned from."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(text_col).alias("t"), F.col(lang_col).alias("y"))
-    got = bounded_sample(rows, "k", "y", most)
-    return Model([r.t.encode() for r in got], [r.y for r in got])
+    counts = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(LANGUAGES).collect()}
+    some = thinned(rows.where(F.col("y").isin(list(counts))), "k", "y", max(1, min(most, ROWS // max(1, len(counts)))), counts) if counts else rows.limit(0)
+    got = [(str(r.k), r.y, features(r.t.encode())) for r in some.repartition(8).toLocalIterator()]
+    got.sort(key=lambda r: (r[0], r[1], r[2].tobytes()))
+    return Model([x for _, _, x in got], [y for _, y, _ in got])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,13 +157,14 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, ambiguous boolean").withColumnRenamed("id", id_col)
 
 
-def keep_identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose text has a language; ``und`` rows go. Ambiguous ones stay."""
+def keep_identified(docs: DataFrame, model: Model, text_col: str = "text", wanted: tuple[str, ...] | None = None) -> DataFrame:
+    """The rows, with all their columns, whose text has a language for certain: ``und`` rows and ambiguous ones go, and
+    those of languages that are not wanted (None: all that the model knows are)."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            lang = model.predict(column_bytes(batch.column(at)))[0]
-            yield batch.filter(pa.array([k != "und" for k in lang], pa.bool_()))
+            lang, _, unsure = model.predict(column_bytes(batch.column(at)))
+            yield batch.filter(pa.array([k != "und" and not u and (wanted is None or k in wanted) for k, u in zip(lang, unsure, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

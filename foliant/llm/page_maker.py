@@ -114,23 +114,56 @@ class Maker:
             return self.kept("p", f"{a} {self.r.choice((self.link(), f'<em>{self.word()}</em>'))} {b}")
         return self.kept(self.r.choice(("p", "p", "p", "p", "p", "p", "div")), s)
 
+    def by_line(self) -> str:
+        return self.r.choice((self.words(self.r.randint(1, 4)), f"{self.word()} {self.link()}", f"<time>{self.r.randint(1, 28)}.{self.r.randint(1, 12)}.20{self.r.randint(10, 25)}</time> {self.word()}"))
+
+    def title(self) -> str:
+        """The heading of the article, plain or in a header of the article's own with what belongs to it."""
+        h = self.kept(self.r.choice(("h1", "h1", "h2")), self.words(self.r.randint(1, 12)))
+        k = self.r.random()
+        if k < 0.5:
+            return h
+        more = "".join(self.kept(self.r.choice(("p", "div", "h2", "p")), self.r.choice((self.by_line(), self.prose(self.r.randint(3, 25))))) for _ in range(self.r.randint(0, 2)))
+        if k < 0.9:
+            return f"<header>{h}{more}</header>"
+        tag, name = self.r.choice(("div", "header", "hgroup")), self.r.choice(("entry-header", "post-header", "article-header", "title"))
+        return f'<{tag} class="{name}">{h}{more}</{tag}>'
+
+    def steps(self) -> str:
+        """A list of the article: short or long items, with or without links."""
+        tag, n = self.r.choice(("ul", "ol", "ol")), self.r.randint(1, 9)
+        most = self.r.choice((2, 4, 12, 40))
+        item = lambda: self.r.choice((self.prose, self.words))(self.r.randint(1, most)) + (f" {self.link()}" if self.r.random() < 0.15 else "")
+        rows = [self.kept("li", self.kept("p", item()) if self.r.random() < 0.15 else item()) for _ in range(n)]
+        return f"<{tag} data-truth=1>" + "".join(rows) + f"</{tag}>"
+
+    def linked(self) -> str:
+        """A paragraph that is mostly links."""
+        links = [self.link() for _ in range(self.r.randint(1, 6))]
+        return self.kept("p", f"{self.words(self.r.randint(0, 6)).capitalize()} {', '.join(links)}{self.r.choice((' ' + self.words(2) + ' ' + self.link() + '.', '.', ''))}")
+
     def article(self) -> str:
-        parts = [self.kept(self.r.choice(("h1", "h1", "h2")), self.words(self.r.randint(2, 12)))] if self.r.random() < 0.85 else []
+        parts = [self.title()] if self.r.random() < 0.88 else []
         for _ in range(self.r.choice((1, 2, 3, self.r.randint(2, 14), self.r.randint(2, 25)))):
             k = self.r.random()
-            if k < 0.76:
+            if k < 0.66:
                 parts.append(self.paragraph())
-            elif k < 0.83:
-                parts.append(self.kept(self.r.choice(("h2", "h3")), self.words(self.r.randint(1, 7))))
-            elif k < 0.9:
-                parts.append("<ul data-truth=1>" + "".join(self.kept("li", self.prose(self.r.randint(2, 25))) for _ in range(self.r.randint(2, 6))) + "</ul>")
-            elif k < 0.93:
+            elif k < 0.73:
+                parts.append(self.kept(self.r.choice(("h2", "h3", "h3", "h4")), self.words(self.r.randint(1, 7))))
+            elif k < 0.81:
+                parts.append((self.kept("p", self.prose(self.r.randint(3, 20))) if self.r.random() < 0.5 else "") + self.steps())
+            elif k < 0.86:
+                parts.append(self.linked())
+            elif k < 0.89:
                 parts.append("<blockquote>" + self.kept("p", self.prose(self.r.randint(5, 50))) + "</blockquote>")
-            elif k < 0.95:
-                rows = "".join("<tr>" + "".join(self.kept("td", self.words(self.r.randint(1, 4))) for _ in range(3)) + "</tr>" for _ in range(self.r.randint(2, 5)))
+            elif k < 0.93:
+                cell = self.r.choice(("td", "td", "th"))
+                rows = "".join("<tr>" + "".join(self.kept(cell if not row else "td", self.words(self.r.randint(1, 4))) for _ in range(3)) + "</tr>" for row in range(self.r.randint(2, 5)))
                 parts.append(f"<table>{rows}</table>")
+            elif k < 0.95:
+                parts.append(self.kept("pre", self.words(self.r.randint(1, 30))))
             elif k < 0.97:
-                parts.append(self.kept("pre", self.words(self.r.randint(4, 30))))
+                parts.append("<dl>" + "".join(self.kept("dt", self.words(2)) + self.kept("dd", self.prose(self.r.randint(2, 20))) for _ in range(self.r.randint(1, 4))) + "</dl>")
             else:
                 parts.append(f"<figure><img src=x>{self.kept('figcaption', self.prose(self.r.randint(3, 15)))}</figure>")
             if self.r.random() < 0.08:
@@ -145,13 +178,30 @@ class Maker:
                 inner = self.named("div", BODY, inner)
             else:
                 inner = f"<div>{inner}</div>"
+            if self.r.random() < 0.12:
+                deep = self.r.randint(2, 8)
+                inner = '<div class="x">' * deep + inner + "</div>" * deep
             if self.r.random() < 0.15:
                 inner = self.r.choice((self.ad, self.share, self.nav))() + inner
             if self.r.random() < 0.15:
                 inner += self.r.choice((self.talk, self.share, self.side))()
         return inner
 
+    def bare_page(self) -> str:
+        """An article and nothing else, or hardly anything; often a few words only."""
+        inner = "".join(self.paragraph() if self.r.random() < 0.8 else self.steps() for _ in range(self.r.choice((1, 1, 2, 3, 5))))
+        inner = (self.title() if self.r.random() < 0.6 else "") + inner
+        k = self.r.random()
+        if k < 0.35:
+            tag = self.r.choice(("article", "main", "section"))
+            inner = f"<{tag}>{inner}</{tag}>"
+        elif k < 0.5:
+            inner = self.r.choice((self.kept("div", self.prose(self.r.randint(6, 60))), f"<div>{inner}</div>"))
+        return f"<html><head><title>{self.words(3)}</title></head><body>{inner}{self.foot() if self.r.random() < 0.2 else ''}" if self.r.random() < 0.7 else inner
+
     def page(self) -> str:
+        if self.r.random() < 0.12:
+            return self.bare_page()
         lead = [f for f, p in ((self.head, 0.5), (self.nav, 0.7), (self.ad, 0.5), (self.note, 0.3), (self.side, 0.2), (self.form, 0.15)) if self.r.random() < p]
         tail = [f for f, p in ((self.talk, 0.35), (self.side, 0.35), (self.form, 0.2), (self.ad, 0.25), (self.nav, 0.1), (self.note, 0.1)) if self.r.random() < p]
         self.r.shuffle(lead)

@@ -72,20 +72,16 @@ def fold(col: str, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def thinned(df: DataFrame, key: str, strata: str, most: int) -> DataFrame:
-    """About ``most`` rows of each value of ``strata`` at most, chosen by the hash of the key on the executors."""
+def thinned(df: DataFrame, key: str, strata: str, most: int, counts: dict | None = None) -> DataFrame:
+    """About ``most`` rows of each value of ``strata`` at most, chosen by the hash of the key on the executors. counts: the
+    rows of each value, if they are known."""
     keep = F.lit(False)
-    for value, n in ((r[0], r[1]) for r in df.groupBy(strata).count().collect()):
+    for value, n in (counts or {r[0]: r[1] for r in df.groupBy(strata).count().collect()}).items():
         rate = min(1.0, most / max(1, n))
         keep = keep | ((F.col(strata) == F.lit(value)) & (key_hash(key) < F.lit(int(rate * (1 << 31)))))
     return df.where(keep)
 
 
-def bounded_sample(df: DataFrame, key: str, strata: str, most: int) -> list:
-    """``thinned`` as driver rows, in the order of their keys."""
-    return sorted(thinned(df, key, strata, most).collect(), key=lambda r: str(r[key]))
-
-
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> list:
     """(k, t, y): about ``most`` texts of each label 0 and 1 at most.
 

@@ -1,9 +1,11 @@
 import hashlib
 import random
+import re
 import struct
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from compare import check
 
@@ -141,6 +143,50 @@ def test_extraction_of_a_page(extractor):
     assert extractor.texts([page, None, ""]) == ["A title & more\nFirst line, here. It is long enough to be read as a sentence of prose.\nSecond <b> line, with some more words in it.", "", ""]
 
 
+PAGES = [
+    ("<article><p>Here are the steps, in order, for the whole thing.</p><ol><li>Do this</li><li>Do that</li></ol><pre>x = 1</pre><p>And then the rest follows, as it was said before.</p></article>", "Here are the steps, in order, for the whole thing.\nDo this\nDo that\nx = 1\nAnd then the rest follows, as it was said before."),
+    ("<article><header><h1>The heading</h1><p>By line</p></header><p>Some text, that is long enough to be an article at all.</p></article>", "The heading\nBy line\nSome text, that is long enough to be an article at all."),
+    ("<main><p>See <a href=a>first</a>, <a href=b>second</a> and <a href=c>third</a>.</p><p>Plain words follow here, and they make a sentence.</p></main>", "See first, second and third.\nPlain words follow here, and they make a sentence."),
+    ("<div>" * 3000 + "Some text, that is long enough to be an article at all. It goes on." + "</div>" * 3000, "Some text, that is long enough to be an article at all. It goes on."),
+    ("<head><title>T</title><p>No end tags at all, but text. It goes on here.</p><p>Second one, here. And more.</p>", "No end tags at all, but text. It goes on here.\nSecond one, here. And more."),
+    (
+        "<html><body><header><nav><ul><li><a href=/>Home</a></li><li><a href=/b>Blog</a></li></ul></nav></header><main><article><header><h1>Title here</h1></header><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be so, as we said before.</p>"
+        "<table><tr><th>Name</th><th>Size</th></tr><tr><td>Ada</td><td>3</td></tr></table><figure><img src=q><figcaption>A caption.</figcaption></figure></article></main><aside><h3>Related</h3><ul><li><a href=z>Other thing</a></li></ul></aside><footer><p>&copy; 2024 Some firm.</p></footer>",
+        "Title here\nLet x=2 be so, as we said before.\nName\nSize\nAda\n3\nA caption.",
+    ),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), PAGES)
+def test_pages_written_by_hand(extractor, page, want):
+    assert extractor.texts([page]) == [want]
+
+
+def test_pages_of_the_table_give_their_article(extractor):
+    """Every page of the table against the blocks of its own article element, by the reader alone."""
+    rows = pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist()
+    want = ["\n".join(t for _, t in parse(re.search(r"<article\b.*?</article>", r["html"], re.S)[0])[1]) for r in rows]
+    assert len(rows) >= 200 and extractor.texts([r["html"] for r in rows]) == want
+
+
+def test_decoding_against_brute_force():
+    """The best of all labellings of small trees in which no kept node stands under a dropped one."""
+    rng = np.random.default_rng(2)
+    for _ in range(150):
+        n = int(rng.integers(1, 9))
+        parent = np.array([-1, *(rng.integers(0, k) for k in range(1, n))])
+        margin = rng.normal(size=n) * 3
+        best, top = None, -np.inf
+        for bits in range(1 << n):
+            y = [bits >> k & 1 for k in range(n)]
+            if any(y[k] and not y[parent[k]] for k in range(1, n)):
+                continue
+            score = sum(-np.logaddexp(0, -m if v else m) for v, m in zip(y, margin, strict=True))
+            if score > top:
+                best, top = y, score
+        assert extract.decode(parent, margin).tolist() == [bool(v) for v in best]
+
+
 def test_reader_survives_anything():
     r = random.Random(6)
     parts = ["<", ">", "</", "p", "div", "<p>", "</p>", "<td>", "<table>", "</table>", "<script>", "</script>", "<!--", "-->", '"', "'", "=", " a ", "<li", "<br/>", "&amp;", "&#x41;", "<a href='", "text", "<title>", "<svg/>", "</html>"]
@@ -156,3 +202,5 @@ def test_extraction_rows(spark):
     got = {r.page_id: r for r in extract.main_text(df, keep=("url",)).collect()}
     assert got[None].text == "" and got[2].n_chars == 0 and got[1].n_chars == len(got[1].text)
     assert extract.main_text(df.limit(0)).collect() == []
+    named = extract.main_text(df.withColumnRenamed("page_id", "_html"), "_html", keep=("text", "url"))
+    assert named.columns == ["_html", "text", "url", "text_", "n_chars"] and {r._html: r.text_ for r in named.collect()}[1] == got[1].text
