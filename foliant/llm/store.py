@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/") if found else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_foliant"
 
 
+_collecting: list[list[Scratch]] = []
+
+
+@contextmanager
+def collecting() -> Iterator[list[Scratch]]:
+    """The scratch folders that are made inside, for whoever knows when their results have been read."""
+    made: list[Scratch] = []
+    _collecting.append(made)
+    try:
+        yield made
+    finally:
+        _collecting.remove(made)
+
+
 class Scratch:
     """Parquet tables of one run in the shared folder: they cut lineage and survive lost executors.
 
@@ -27,6 +43,8 @@ class Scratch:
         fs, path = self._at(self.root)
         fs.mkdirs(path)
         fs.deleteOnExit(path)
+        for made in _collecting[-1:]:
+            made.append(self)
 
     def _at(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
