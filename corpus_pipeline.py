@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from foliant.llm import decontaminate, language, near_dup, pieces, queries, toxicity
-from foliant.llm.store import Scratch
+from foliant.llm.store import Scratch, collecting
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter."""
+    """Drops documents whose language cannot be told: null texts, texts without a letter, and those whose codewords leave
+    two languages nearly as likely."""
     return language.keep_identified(docs, queries.language_model(spark, sf_dir))
 
 
@@ -50,10 +51,14 @@ ORACLE_SQL = None  # models and a tokenizer; tested against brute force instead
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Tables of a stage are deleted once its result is written, and results once the next is."""
     docs, scratch = spark.read.parquet(f"{sf_dir}/documents.parquet"), Scratch(spark, "pipeline")
     before = None
     for _, stage in STAGES:
-        after = scratch.table(stage(spark, docs, sf_dir))
+        with collecting() as made:
+            after = scratch.table(stage(spark, docs, sf_dir))
+        for s in made:
+            s.clear()
         if before is not None:
             scratch.drop(before)
         docs = before = after
