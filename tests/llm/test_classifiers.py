@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -19,17 +20,73 @@ def truth():
 def test_language_held_out(spark, truth):
     rows = [r for r in queries.QUERIES["op7_ecoc_language"](spark, DATA).collect()]
     assert len(rows) == len(truth[0])
-    held = [r.lang_pred == truth[0][r.doc_id]["lang"] for r in rows if r.held_out]
-    assert np.mean(held) > 0.99 and 0.2 < len(held) / len(rows) < 0.3
-    assert all(0 <= r.score <= 1 for r in rows)
+    held = [r for r in rows if r.held_out]
+    assert 0.2 < len(held) / len(rows) < 0.3 and all(0 <= r.score <= 1 for r in rows)
+    for lang in ("en", "de", "fr", "es"):
+        right = sum(r.lang_pred == lang == truth[0][r.doc_id]["lang"] for r in held)
+        assert right > 0.98 * sum(truth[0][r.doc_id]["lang"] == lang for r in held) and right > 0.98 * sum(r.lang_pred == lang for r in held)
 
 
-@pytest.mark.parametrize(("name", "label", "least"), [("op6_mil_toxicity", "toxic", 0.97), ("op8_attention_quality", "quality", 0.98)])
+@pytest.mark.parametrize(("name", "label", "least"), [("op6_mil_toxicity", "toxic", (0.88, 0.9)), ("op8_attention_quality", "quality", (0.97, 0.97))])
 def test_labels_held_out(spark, truth, name, label, least):
+    """Recall and precision of the rarer label, as accuracy says little where one label is rare."""
     rows = queries.QUERIES[name](spark, DATA).collect()
     assert len(rows) == len(truth[0]) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in rows)
-    held = [r.predicted == truth[1][r.doc_id][label] for r in rows if r.held_out and r.doc_id in truth[1]]
-    assert np.mean(held) > least
+    held = [(r.predicted, truth[1][r.doc_id][label]) for r in rows if r.held_out and r.doc_id in truth[1]]
+    rare = int(np.mean([y for _, y in held]) < 0.5)
+    hit = sum(p == y == rare for p, y in held)
+    assert hit / sum(y == rare for _, y in held) > least[0] and hit / sum(p == rare for p, _ in held) > least[1]
+
+
+def test_language_against_plain_loops():
+    """The same weights and codewords, bit by bit and language by language."""
+    r = random.Random(6)
+    prose = lambda v, n: " ".join(r.choice(v) for _ in range(n)).encode()
+    vocabularies = {k: ["".join(r.choice(k * 3 + "aeiou") for _ in range(r.randrange(2, 8))) for _ in range(60)] for k in ("bcd", "fgh", "jkl", "mnp")}
+    texts, langs = zip(*[(prose(v, 30), k) for k, v in vocabularies.items() for _ in range(40)], strict=True)
+    m = language.Model(texts, list(langs))
+    for t in [prose(v, n) for v in vocabularies.values() for n in (1, 3, 40)] + [prose(vocabularies["bcd"] + vocabularies["mnp"], 40)]:
+        x = language.features(t)
+        bits = [sum(float(a) * float(b) for a, b in zip(x, m.w[:, k], strict=True)) + float(m.b[k]) for k in range(m.w.shape[1])]
+        loss = [sum(float(m.weight[k]) * np.log1p(np.exp(-z * int(m.code[i, k]))) for k, z in enumerate(bits)) for i in range(len(m.langs))]
+        chance = np.exp(-np.array(loss)) / np.exp(-np.array(loss)).sum()
+        (lang,), (score,), (unsure,) = m.predict([t])
+        assert lang == m.langs[int(np.argmin(loss))] and score == pytest.approx(chance.max(), abs=1e-3)
+        assert unsure == (np.sort(chance)[-1] - np.sort(chance)[-2] < language.MARGIN)
+
+
+def test_features_against_plain_counts():
+    text = "Ab aBa é".encode()
+    low, want = text.lower(), np.zeros(language.DIM)
+    for c in low:
+        want[c] += 1 / len(low)
+    for n in (2, 3, 4):
+        grams = [low[i : i + n] for i in range(len(low) - n + 1)]
+        for g in grams:
+            want[256 + (n - 2) * language.BUCKETS + ((int.from_bytes(g, "big") * 0x9E3779B1 & 0xFFFFFFFF) >> 21)] += 1 / len(grams)
+    assert language.features(text) == pytest.approx(np.sqrt(want), abs=1e-6)
+
+
+def test_the_stage_follows_the_model(spark):
+    """Another model, other rows: what it is not sure of goes, and what is not wanted."""
+    df = spark.createDataFrame([(1, "der und die nicht"), (2, "the of and this is"), (3, "12 + 3"), (4, None)], "doc_id long, text string")
+    m = language.Model([b"der und die nicht das ist"] * 20 + [b"the and of not this is"] * 20, ["de"] * 20 + ["en"] * 20)
+    ids = lambda out: sorted(r.doc_id for r in out.collect())
+    assert ids(language.keep_identified(df, m)) == [1, 2] and ids(language.keep_identified(df, m, wanted=("en",))) == [2]
+    unsure = language.Model([b"der und die nicht das ist"] * 20 + [b"the and of not this is"] * 20, ["de"] * 20 + ["en"] * 20)
+    unsure.w, unsure.b = unsure.w * 0, unsure.b * 0  # every bit is even
+    assert ids(language.keep_identified(df, unsure)) == []
+
+
+def test_training_is_bounded_in_rows_of_all_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "ROWS", 60)
+    monkeypatch.setattr(language, "LANGUAGES", 5)
+    seen = []
+    monkeypatch.setattr(language, "Model", lambda x, y: seen.append((list(x), list(y))))
+    rows = [(k, f"text {k}", f"l{k % 4}") for k in range(2000)] + [(5000 + k, "junk", f"junk{k}") for k in range(300)]
+    language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    x, y = seen[0]
+    assert len(x) == len(y) <= 100 and {f"l{k}" for k in range(4)} <= set(y) and len(set(y)) <= 5
 
 
 def small(spark):
@@ -64,6 +121,24 @@ def test_decoding_corrects_errors():
             assert m.decode(z[None])[0][0] == k
 
 
+def noisy_or(m, text):
+    """Sentence by sentence and word by word, with the words' hashes alone from the library."""
+    from foliant.llm.words import LETTERS, Chunk
+
+    weight = dict(zip(m.vocabulary.tolist(), m.weights.tolist(), strict=True))
+    clean = 1.0
+    for s in re.split(rb"[!.?\n]", text):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() or "À" <= c <= "Þ" else c for c in s.decode()))
+        if words:
+            z = m.bias
+            for w in words:
+                c = Chunk([w.encode()], 0, LETTERS, True)
+                for of, h in c.parts(toxicity.PREFIXES):
+                    z += sum(weight.get(int(x), 0.0) for x in h)
+            clean *= 1 - 1 / (1 + np.exp(-z))
+    return 1 - clean
+
+
 def test_toxicity_finds_sentences(spark):
     r = random.Random(1)
     word = lambda: "".join(r.choice("abcdefg") for _ in range(3))
@@ -82,6 +157,8 @@ def test_toxicity_finds_sentences(spark):
     got = toxicity.score(small(spark), m, spans=True).collect()
     assert len(got) == 6 and all(0 <= r.score <= 1 for r in got)
     assert toxicity.keep_clean(small(spark), m).columns == small(spark).columns
+    for t in [*texts[:60], b"", "NASTYWORD. Élan nastyWord ok! ÉLAN".encode()]:
+        assert m.scores([t])[0] == pytest.approx(noisy_or(m, t), abs=1e-9)
     assert toxicity.Model([], []).scores([b"a"]).tolist() == [0.0] and toxicity.score(small(spark).limit(0), m).collect() == []
 
 
@@ -94,6 +171,17 @@ def test_attention(spark):
     assert np.mean((m.scores(texts) >= 0.5) == np.array([True] * 150 + [False] * 150)) > 0.98
     a = m.attention(texts[-1])
     assert sum(a) == pytest.approx(1) and len(a) == 5
+    for t in (texts[0], texts[-1], b"", b"one"):  # passage by passage
+        c = next(quality.chunks([t], quality.NOT_SPACE))
+        x = np.clip((quality.passages(c)[0] - m.mean) / m.scale, -8, 8)
+        w, bias, p, q, v, u, d = m.parts
+        e, own = [], []
+        for row in x:
+            h = np.tanh(row @ w + bias)
+            e.append(np.exp(sum(np.tanh(h @ p[:, k]) / (1 + np.exp(-(h @ q[:, k]))) * v[k] for k in range(len(v)))))
+            own.append(float(h @ u))
+        z = sum(k * o for k, o in zip(e, own, strict=True)) / sum(e) + float(d[0])
+        assert m.scores([t])[0] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-4)
     rows = quality.score(small(spark), m).collect()
     assert len(rows) == 6 and all(0 <= x.score <= 1 for x in rows)
     assert quality.Model([], []).scores([b"a", b""]).tolist() == [0.5, 0.5] and quality.score(small(spark).limit(0), m).collect() == []

@@ -5,7 +5,7 @@ from test_decontaminate import brute as items_in
 from test_near_dup import brute as groups
 
 import corpus_pipeline
-from foliant.llm import queries
+from foliant.llm import queries, store
 
 DATA = "/root/testdata/sf0.001"
 
@@ -22,7 +22,8 @@ def test_stages_against_brute_force(spark):
         got = {r.doc_id for r in out.collect()}
         encoded = {k: (t or "").encode() for k, t in rows.items()}
         if name == "language":
-            want = {k for k, t in encoded.items() if lang.predict([t])[0] != ["und"]}
+            said = {k: lang.predict([t]) for k, t in encoded.items()}
+            want = {k for k, (name_, _, unsure) in said.items() if name_ != ["und"] and not unsure[0]}
             assert not got & {900_001, 900_002, 900_003}
         elif name == "toxicity":
             want = {k for k, t in encoded.items() if tox.scores([t])[0] < 0.7}
@@ -40,8 +41,11 @@ def test_stages_against_brute_force(spark):
         now = out
 
 
-def test_run_and_empty(spark, tmp_path):
+def test_run_and_empty(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "shared_dir", lambda s: f"file://{tmp_path}/shared")
     out = corpus_pipeline.run(spark, DATA)
+    left = [p for p in (tmp_path / "shared").glob("*/*") if not p.name.startswith(".")]
+    assert [p.parent.name.rsplit("-", 1)[0] for p in left] == ["pipeline"]  # the result alone
     assert out.columns == ["doc_id", "piece_ids", "n_pieces", "round_trip"] and out.count() > 100
     for t in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{DATA}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
