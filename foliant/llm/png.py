@@ -11,7 +11,6 @@ Null and empty texts are the padding alone. Repeated rows get equal values; null
 
 from __future__ import annotations
 
-import hashlib
 import struct
 import zlib
 from collections.abc import Iterator
@@ -65,8 +64,28 @@ def encode(payload: bytes) -> bytes:
     return SIGNATURE + _chunk(b"IHDR", head) + body + _chunk(b"IEND", b"")
 
 
+def _slanted(kind: int, data: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Average (3) or Paeth (4) rows undone. A pixel needs those at its left, above and between; pixels whose row and
+    column add up to the same number need none of each other, so they are undone together."""
+    rows, width, _ = data.shape
+    out = np.zeros((rows + 1, width + 1, data.shape[2]), np.int16)
+    out[0, 1:] = above
+    for d in range(rows + width - 1):
+        r = np.arange(max(0, d - width + 1), min(rows, d + 1))
+        i = d - r
+        left, up, corner = out[r + 1, i], out[r, i + 1], out[r, i]
+        if kind == 3:
+            guess = (left + up) // 2
+        else:
+            p = left + up - corner
+            to_left, to_up, to_corner = abs(p - left), abs(p - up), abs(p - corner)
+            guess = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        out[r + 1, i + 1] = (data[r, i] + guess) & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
 def unfilter(kinds: np.ndarray, data: np.ndarray, bpp: int) -> np.ndarray:
-    """The samples of filtered rows. Runs of None or Up rows, and Sub rows, are undone as arrays."""
+    """The samples of filtered rows. Rows of one type that follow each other are undone together."""
     out = np.empty_like(data)
     above = np.zeros(data.shape[1], np.uint8)
     starts = np.flatnonzero(np.append(True, kinds[1:] != kinds[:-1]))
@@ -79,18 +98,7 @@ def unfilter(kinds: np.ndarray, data: np.ndarray, bpp: int) -> np.ndarray:
         elif kind == 2:
             out[a:b] = np.cumsum(part, axis=0, dtype=np.uint8) + above
         elif kind in (3, 4):
-            for r in range(a, b):
-                up = (out[r - 1] if r else above).astype(np.int64).reshape(-1, bpp)
-                left = corner = np.zeros(bpp, np.int64)
-                for i, x in enumerate(data[r].astype(np.int64).reshape(-1, bpp)):
-                    if kind == 3:
-                        guess = (left + up[i]) // 2
-                    else:
-                        p = left + up[i] - corner
-                        pa_, pb, pc = abs(p - left), abs(p - up[i]), abs(p - corner)
-                        guess = np.where((pa_ <= pb) & (pa_ <= pc), left, np.where(pb <= pc, up[i], corner))
-                    corner, left = up[i], (x + guess) & 255
-                    out[r, i * bpp : (i + 1) * bpp] = left
+            out[a:b] = _slanted(kind, part.reshape(b - a, -1, bpp), above.reshape(-1, bpp)).reshape(b - a, -1)
         else:
             raise ValueError(f"no filter type {kind}")
         above = out[b - 1]
@@ -190,25 +198,15 @@ def decoded(images: DataFrame, image_col: str = "image") -> DataFrame:
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Digests of ``media`` and of what ``decode`` reads back from it; the images themselves stay on the executor."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
-            out: list[list] = [[] for _ in range(7)]
-            for t in batch.column("text").to_pylist():
-                t = t or b""
-                image = encode(padded(t))
-                samples = decode(image)
-                back = samples.tobytes()
-                row = (len(t), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(image), hashlib.sha256(image).hexdigest(), cosine_hash(samples).hex())
-                for column, v in zip(out, row, strict=True):
-                    column.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], names=["id", *NAMES])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string").withColumnRenamed("id", id_col)
-
-
-NAMES = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    """Digests of the images that ``media`` stores, and of the payloads that ``decoded`` reads back from them."""
+    back = decoded(media(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text"))
+    return back.select(
+        F.col("id").alias(id_col),
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.expr("crc32(substring(payload, -16, 16))").alias("tail_crc32"),
+        F.octet_length("image").cast("long").alias("media_bytes"),
+        F.sha2("image", 256).alias("media_sha256"),
+        F.lower(F.hex("feature")).alias("feature"),
+    )

@@ -32,6 +32,10 @@ def test_unfilter_all_types():
     rng = np.random.default_rng(1)
     kinds, rows = rng.integers(0, 5, 40).astype(np.uint8), rng.integers(0, 256, (40, 30)).astype(np.uint8)
     assert (png.unfilter(kinds, rows, 3) == reference_unfilter(kinds.tolist(), rows.tolist(), 3)).all()
+    for kind in range(5):  # runs of one type, and one row or pixel alone
+        for n, width in ((7, 12), (1, 12), (9, 3), (1, 3)):
+            same, data = np.full(n, kind, np.uint8), rng.integers(0, 256, (n, width)).astype(np.uint8)
+            assert (png.unfilter(same, data, 3) == reference_unfilter(same.tolist(), data.tolist(), 3)).all()
 
 
 def test_png_round_trip_and_damage():
