@@ -107,4 +107,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     """
     y = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).groupBy("k").agg(F.max("y").alias("y"))
     rows = docs.select(F.col(id_col).alias("k"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return sorted(rows.join(F.broadcast(thinned(y, "k", "y", most)), "k").collect(), key=lambda r: (str(r.k), r.t))
+    # part by part, so that the driver's JVM never holds them all
+    return sorted(rows.join(F.broadcast(thinned(y, "k", "y", most)), "k").repartition(8).toLocalIterator(), key=lambda r: (str(r.k), r.t))

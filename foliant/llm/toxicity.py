@@ -45,25 +45,33 @@ class Model:
         y = np.asarray(labels, float)
         if not len(y) or y.min() == y.max():
             return
-        words, sentence, row = [], [], []
+        # two passes over the texts, chunk by chunk: which words take part, and where they stand
+        vocabulary, df, df1 = np.empty(0, np.uint64), np.empty(0), np.empty(0)
         for c in chunks(texts, LETTERS, latin=True):
-            s, r = sentences(c)
-            for of, h in c.parts(PREFIXES):
-                words.append(h)
-                sentence.append(s[of] + sum(map(len, row)))
-            row.append(r + c.first)
-        word, sentence, row = (np.concatenate(x) for x in (words, sentence, row))
-        vocabulary, word = np.unique(word, return_inverse=True)
-        pair = np.unique(word * len(y) + row[sentence])
-        df = np.bincount(pair // len(y), minlength=len(vocabulary))
-        df1 = np.bincount(pair // len(y), weights=y[pair % len(y)], minlength=len(vocabulary))
+            held = [(h, c.row[of]) for of, h in c.parts(PREFIXES)]
+            hashes, word = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
+            pair = np.unique(word * len(c.texts) + np.concatenate([r for _, r in held]))
+            own, of_row = pair // len(c.texts), y[c.first + pair % len(c.texts)]
+            both, at = np.unique(np.concatenate((vocabulary, hashes)), return_inverse=True)
+            df = np.bincount(at, weights=np.concatenate((df, np.bincount(own, minlength=len(hashes)))), minlength=len(both))
+            df1 = np.bincount(at, weights=np.concatenate((df1, np.bincount(own, weights=of_row, minlength=len(hashes)))), minlength=len(both))
+            vocabulary = both
         rate = y.mean()
         off = (df1 - rate * df) / np.sqrt(df * rate * (1 - rate) + 1e-9)
         known = (df >= LEAST_DOCUMENTS) & (np.abs(off) >= LEAST_DEVIATION)
-        number = np.cumsum(known) - 1
-        keep = known[word]
-        word, of = number[word[keep]], sentence[keep]
-        df, df1 = df[known], df1[known]
+        vocabulary, df, df1 = vocabulary[known], df[known], df1[known]
+        words, sentence, row, n = [np.empty(0, np.int32)], [np.empty(0, np.int32)], [np.empty(0, np.int32)], 0
+        for c in chunks(texts, LETTERS, latin=True):
+            s, r = sentences(c)
+            for of, h in c.parts(PREFIXES):
+                if len(vocabulary) and len(of):
+                    at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
+                    hit = np.flatnonzero(vocabulary[at] == h)
+                    words.append(at[hit].astype(np.int32))
+                    sentence.append((s[of[hit]] + n).astype(np.int32))
+            row.append((r + c.first).astype(np.int32))
+            n += len(r)
+        word, of, row = (np.concatenate(x) for x in (words, sentence, row))
         # starts from how much more often a word stands in toxic documents
         w = np.log((df1 + 0.5) / (y.sum() + 1)) - np.log((df - df1 + 0.5) / ((1 - y).sum() + 1))
         w = np.where(w > 1, w, 0.0)
@@ -87,7 +95,7 @@ class Model:
                     w = np.sign(w) * np.maximum(np.abs(w) - 0.01, 0)  # words without a say fall to 0
                 else:
                     b = b - step
-        self.vocabulary, self.weights, self.bias = vocabulary[known][w != 0], w[w != 0], float(b)
+        self.vocabulary, self.weights, self.bias = vocabulary[w != 0], w[w != 0], float(b)
 
     def chances(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """softplus of each sentence's logit (so that noisy-or is a sum), its row, and the sentence of each word."""
