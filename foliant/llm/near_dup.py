@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .store import Scratch, free
+from .store import Scratch, free, join_by_key
 from .words import NOT_SPACE, chunks, column_bytes, mix, small
 
 WORDS, BANDS, ROWS, VERIFY, BATCH = 5, 32, 4, 128, 32
@@ -217,9 +217,9 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     A head ``a`` travels once with every ``BLOCK`` or so of its members, never once for each pair.
     """
-    chunks_ = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    chunks_ = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / BLOCK).cast("int"))
     heads = chunks_.select("a", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), F.col("a").alias("id"))
-    members = pairs.join(chunks_, "a").select("a", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"), F.lit(1).alias("side"), F.col("b").alias("id"))
+    members = join_by_key(pairs, chunks_, "a", "n", pairs.count()).select("a", F.pmod(F.xxhash64("b"), "chunks").cast("int").alias("chunk"), F.lit(1).alias("side"), F.col("b").alias("id"))
     rows = heads.unionByName(members).join(texts, "id").select("a", "chunk", "side", "id", "text")
     return rows.repartition("a", "chunk").sortWithinPartitions("a", "chunk", "side").mapInArrow(_verify_stars, "a long, b long")
 
@@ -337,12 +337,12 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     scratch = Scratch(spark, "near-dup")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     sk = scratch.table(sketch(rows))
+    total = sk.count()
     classes = scratch.table(sk.where("digest is not null and id is not null").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("n_copies")))
     reps = scratch.table(sk.where("digest is not null").join(classes, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"]).select("id", "digest", "bands", "sig"))
     keyed = reps.select("id", F.explode("bands").alias("key"))
-    # a written table, so that the join deals out both sides and adaptive execution can split a large bucket
-    heads = scratch.table(keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1"))
-    buckets = scratch.table(keyed.join(heads, "key").select("key", "id", "head", "n"))
+    heads = scratch.table(keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")))
+    buckets = scratch.table(join_by_key(keyed, heads.where("n > 1"), "key", "n", BANDS * total).select("key", "id", "head", "n"))
     pairs = buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
     pairs = pairs.join(reps.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
     pairs = scratch.table(pairs.select("a", "b", "sa", "sb").mapInArrow(_prune, "a long, b long, matches long").select("a", "b").distinct())
@@ -356,7 +356,9 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         comp = components(links.unionByName(more), scratch)
     of_class = scratch.table(classes.join(comp, "id", "left").select("digest", "n_copies", F.coalesce("comp", "id").alias("comp")))
     scratch.clear(sk, of_class)
-    out = sk.select("id", "mark", "n_shingles", "digest").join(of_class, "digest", "left")
+    out = sk.select("id", "mark", "n_shingles", "digest")
+    # rows without a set have no class; they are not dealt out by the key that they lack
+    out = join_by_key(out.where("digest is not null"), of_class, "digest", "n_copies", total, "left").unionByName(out.where("digest is null"), allowMissingColumns=True)
     out = out.select("id", "mark", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id"), F.coalesce("n_copies", F.lit(1)).alias("n_copies"))
     return out.withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)))
 

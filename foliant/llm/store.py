@@ -73,6 +73,22 @@ class Scratch:
                 fs.delete(s.getPath(), True)
 
 
+#: A key is hot if it holds one in so many rows; there are never more hot keys than that.
+HOT = 1000
+
+
+def join_by_key(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row for each key and, in ``weight``, how many rows left has of it at least.
+
+    Rows of hot keys stay where they are: of right at most HOT rows are hot, so those are broadcast. Only the others are
+    dealt out by their key, and none of their keys is large. how: inner or left.
+    """
+    hot = F.col(weight) * HOT >= max(1, total)
+    many, few = right.where(hot), right.where(~hot)
+    rest = left.join(F.broadcast(many.select(key)), key, "left_anti")
+    return left.join(F.broadcast(many), key).unionByName(rest.join(few, key, how))
+
+
 def free(name: str, taken) -> str:
     """The name, with underscores after it while it is taken."""
     while name in taken:

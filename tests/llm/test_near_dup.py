@@ -7,7 +7,7 @@ from compare import check
 
 from foliant.llm import near_dup, queries
 from foliant.llm.components import components
-from foliant.llm.store import Scratch
+from foliant.llm.store import Scratch, join_by_key
 
 
 def sets(text):
@@ -198,6 +198,16 @@ def test_pruning_loses_no_more_than_the_bands():
     assert abs(near_dup.total_miss() - lost) < 1e-12
 
 
+def test_hot_keys_are_not_dealt_out(spark):
+    """A key with a third of all rows, and keys on one side only, joined as by a plain join."""
+    left = spark.createDataFrame([(7 if k % 3 == 0 else k, k) for k in range(6000)] + [(9999, 1)], "key long, v long")
+    right = left.groupBy("key").count().withColumnRenamed("count", "n").where("key <> 9999").selectExpr("key", "n", "key * 2 AS w")
+    for how, n in (("inner", 6000), ("left", 6001)):
+        out = join_by_key(left, right, "key", "n", 6001, how)
+        want = left.join(right, "key", how)
+        assert out.count() == n and sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
 def test_components(spark):
     r = random.Random(1)
     links = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(k, k + 1) for k in range(300, 360)]
