@@ -11,7 +11,7 @@ from .functions.expressions import render, shown_variant
 from .plans.ddl import copy_column, parse_copy, parse_create, parse_insert
 from .plans.rewrite import rewrite
 from .plans.tokens import tokens
-from .sources.catalog import Catalog
+from .sources.catalog import PUBLIC, Catalog
 from .sources.table import ColumnSpec, Table
 from .schema import quoted, type_of
 
@@ -23,15 +23,16 @@ class Engine:
     """Works in a session of its own, so that the caller's settings and views stay as they are.
 
     json_types: the spellings of the JSON column type in CREATE TABLE. cache: keep each table's scan in memory until the
-    table changes.
+    table changes, as far as ``cache_bytes`` (by Spark's estimate) go.
     """
 
-    def __init__(self, spark: SparkSession, base: str, json_types: tuple[str, ...] = ("JSON",), cache: bool = False):
+    def __init__(self, spark: SparkSession, base: str, json_types: tuple[str, ...] = ("JSON",), cache: bool = False, cache_bytes: int = 256 << 20):
         self.spark = spark.newSession()
         for k, v in SETTINGS.items():
             self.spark.conf.set(k, v)
         self.catalog = Catalog(self.spark, base)
         self.json_types, self.cache = tuple(t.upper() for t in json_types), cache
+        self.cache_bytes, self._cached = cache_bytes, {}  # size of each scan that is kept, oldest first
         self._views: dict[str, tuple[tuple, DataFrame, dict]] = {}
         self._seen: dict[str, dict[str, str]] = {}  # views and the types of their columns
 
@@ -58,7 +59,20 @@ class Engine:
     # -- statements ---------------------------------------------------------------------------------------------------
     def sql(self, statement: str) -> DataFrame:
         """Runs one statement. Commands give one row: (command, count)."""
+        statement = self._qualified(statement)
         words = [t.upper for t in tokens(statement)[:3]]
+        if words[:2] in (["CREATE", "SCHEMA"], ["DROP", "SCHEMA"]):
+            ts = tokens(statement.strip().rstrip(";"))[2:]
+            exists = "EXISTS" in [t.upper for t in ts[:3]]
+            cascade = ts[-1].upper == "CASCADE"
+            name = ts[-1 - cascade].name
+            if words[0] == "CREATE":
+                self.catalog.create_schema(name, exists)
+            else:
+                for t in [t for t in self.catalog.tables if self.catalog.split(t)[0] == name]:
+                    self._forget(t)
+                self.catalog.drop_schema(name, exists, cascade)
+            return self._done(" ".join(words[:2]), 0)
         if words[:2] == ["CREATE", "TABLE"]:
             return self._create(statement)
         if words[:2] == ["DROP", "TABLE"]:
@@ -104,9 +118,21 @@ class Engine:
 
     def _forget(self, name: str) -> None:
         found = self._views.pop(name, None)
-        if found is not None and self.cache:
+        if found is not None and self._cached.pop(name, None) is not None:
             found[1].unpersist()
 
+    def _held(self, name: str, df: DataFrame) -> DataFrame:
+        """The scan, in memory if the cache is on and has room for it; those that were made first give way."""
+        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) if self.cache else 0
+        if not self.cache or size > self.cache_bytes:
+            return df
+        while self._cached and sum(self._cached.values()) + size > self.cache_bytes:
+            first = next(iter(self._cached))
+            del self._cached[first]
+            self._views.pop(first)[1].unpersist()
+        self._cached[name] = size
+        return df.cache()
+
     def _views_of(self, statement: str) -> dict:
         """Views of the tables that the statement names, as they are now; the types of their JSON columns."""
         named = {t.name for t in tokens(statement) if t.kind in ("word", "quoted")} & set(self.catalog.tables)
@@ -116,9 +142,7 @@ class Engine:
             version = tuple(t.manifest.names())
             if name not in self._views or self._views[name][0] != version:
                 self._forget(name)
-                df = t.scan()
-                if self.cache:
-                    df = df.cache()
+                df = self._held(name, t.scan())
                 df.createOrReplaceTempView(name)
                 self._views[name] = (version, df, t.types())
             out[name] = self._views[name][2]
@@ -137,6 +161,20 @@ class Engine:
         df = self._rendered(self.spark.sql(text), {c: t for c, (t, is_text) in derived.items() if not is_text} | {c: t for s in schemas.values() for c, t in s.items()})
         return df, documents
 
+    def _qualified(self, statement: str) -> str:
+        """``schema.table`` as the table's one name, where it names a table there is or one that is made or dropped."""
+        ts, out, at = tokens(statement), [], 0
+        for i, t in enumerate(ts[:-2]):
+            if ts[i + 1].text != "." or t.kind not in ("word", "quoted") or t.name not in self.catalog.schemas or (i and ts[i - 1].text == "."):
+                continue
+            own = ts[i + 2].name
+            name = own if t.name == PUBLIC else f"{t.name}__{own}"
+            command = ts[0].upper in ("CREATE", "DROP", "INSERT", "COPY") and i and ts[i - 1].upper in ("TABLE", "EXISTS", "INTO", "COPY")
+            if t.at >= at and (name in self.catalog.tables or command):
+                out.append(statement[at : t.at] + name)
+                at = ts[i + 2].end
+        return "".join(out) + statement[at:]
+
     def _information(self, statement: str) -> str:
         """``information_schema.tables`` and ``.columns`` as views of what the catalog holds now."""
         ts, out, at = tokens(statement), [], 0

@@ -8,18 +8,25 @@ from __future__ import annotations
 
 import json
 import re
+import sys
 from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..functions.expressions import literal
 from ..plans.hints import Hint
 from ..schema import Type, infer_root, merge, quoted
 from .convert import HintError, marked, violation, whole
 
+# sent with the task, so that Python workers need not have this package
+for _module in (sys.modules[__name__], schema):
+    cloudpickle.register_pickle_by_value(_module)
+
 _PART = re.compile(r"\s*(`(?:[^`]|``)*`|[A-Za-z0-9_]+(?:\(\d+,\s*-?\d+\))?|[<>,:])")
 _SCALARS = {"BIGINT": "long", "DOUBLE": "double", "FLOAT": "double", "STRING": "string", "BOOLEAN": "boolean", "VOID": "null", "VARIANT": "variant"}
 #: Whole numbers of 19 or 20 digits lie on both sides of the 64-bit bounds: their rows are looked at one by one.

@@ -25,6 +25,7 @@ def rows(df):
     return [tuple(r) for r in df.collect()]
 
 
+# The statements, documents and results of test_basic, test_hints and test_variant are golden cases: fixed values.
 def test_basic(engine):
     engine.sql("CREATE TABLE users (id INT, data JSON)")
     engine.sql("""INSERT INTO users VALUES (1, '{"name":"Ada","age":39,"active":true,"meta":{"city":"NY"}}'),
@@ -159,6 +160,63 @@ def test_options():
         writer_options({"compression": "brotli"})
 
 
+def test_schemas(engine):
+    engine.sql("CREATE SCHEMA lab")
+    engine.sql("CREATE SCHEMA IF NOT EXISTS lab")
+    engine.sql("CREATE TABLE lab.runs (id INT, data JSON)")
+    engine.sql("CREATE TABLE runs (id INT)")
+    engine.sql("""INSERT INTO lab.runs VALUES (1, '{"a":{"b":3}}'), (2, '{"a":{"b":4}}')""")
+    engine.sql("INSERT INTO public.runs VALUES (2)")
+    assert rows(engine.sql("SELECT r.data.a.b + 1 AS x FROM lab.runs r JOIN public.runs p ON p.id = r.id")) == [(5,)]
+    assert rows(engine.sql("SELECT table_schema, table_name FROM information_schema.tables ORDER BY 1")) == [("lab", "runs"), ("public", "runs")]
+    again = Engine(engine.spark, engine.catalog.base)
+    assert rows(again.sql("SELECT max(data.a.b) AS x FROM lab.runs")) == [(4,)]
+    for bad in ("CREATE SCHEMA lab", "DROP SCHEMA lab", "DROP SCHEMA public CASCADE", "DROP SCHEMA nope", "CREATE TABLE lab (i INT)"):
+        with pytest.raises(ValueError, match="exists|in use|no schema|is a schema"):
+            engine.sql(bad)
+    engine.sql("DROP SCHEMA lab CASCADE")
+    engine.sql("DROP SCHEMA IF EXISTS lab")
+    assert engine.catalog.names() == ["runs"] and Engine(engine.spark, engine.catalog.base).catalog.schemas == {"public"}
+
+
+def test_scan_cache_is_bounded(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/base", cache=True)
+    for n in ("a", "b"):
+        e.sql(f"CREATE TABLE {n} (id INT, data JSON)")
+        e.sql(f"""INSERT INTO {n} VALUES (1, '{{"x":1}}')""")
+        assert rows(e.sql(f"SELECT data.x + 1 AS x FROM {n}")) == [(2,)]
+    assert list(e._cached) == ["a", "b"]
+    e.cache_bytes = sum(e._cached.values())
+    e.sql("""INSERT INTO a VALUES (2, '{"x":2}')""")
+    assert rows(e.sql("SELECT sum(data.x) AS x FROM a")) == [(3,)] and list(e._cached) == ["a"]
+    e.cache_bytes = 1
+    e.sql("""INSERT INTO b VALUES (2, '{"x":2}')""")
+    assert rows(e.sql("SELECT sum(data.x) AS x FROM b")) == [(3,)] and "b" not in e._cached
+
+
+def test_workers_need_no_package(tmp_path):
+    """A driver that finds the package by its own path alone."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+from foliant.engine import Engine
+s = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+e = Engine(s, "file://{tmp_path}/base")
+e.sql("CREATE TABLE t (d JSON)")
+e.sql("INSERT INTO t SELECT to_json(named_struct('a', 1))")
+print("GOT", e.sql("SELECT d.a + 1 AS x FROM t").first().x)
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=180, env=env, cwd=tmp_path)
+    assert "GOT 2" in done.stdout, done.stderr[-2000:]
+
+
 def test_text_getters(spark):
     """One column of each kind of value, asked for in each type."""
     texts = ['{"p":{"q":7}}', '{"p":{"q":"seven"}}', '{"p":{"q":0.25}}', '{"p":{"q":false}}', '{"p":{"q":{}}}', '{"p":3}', "{p", None]
