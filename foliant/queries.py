@@ -282,11 +282,40 @@ def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.sql(f"SELECT d.k AS k, count(*) AS n FROM {name} GROUP BY d.k")
 
 
-_MORE = (j_text_getters, copy_ndjson, table_hints, table_options, ddl_errors, empty_and_dropped, value_counts_with_nulls, escaped_text, stream_tail)
+def named_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table in a schema of its own, joined with one of the same name in ``public``."""
+    e = engine_for(spark, sf_dir)
+    schema, name = f"s{uuid.uuid4().hex[:8]}", f"t{uuid.uuid4().hex[:8]}"
+    e.sql(f"CREATE SCHEMA {schema}")
+    e.sql(f"CREATE TABLE {schema}.{name} (id BIGINT, d JSON)")
+    e.sql(f"CREATE TABLE {name} (id BIGINT)")
+    e.sql(f"INSERT INTO {schema}.{name} SELECT n_nationkey, to_json(named_struct('r', n_regionkey)) FROM nation")
+    e.sql(f"INSERT INTO public.{name} SELECT r_regionkey FROM region WHERE r_regionkey < 3")
+    return e.sql(f"SELECT q.id AS id, count(*) AS n FROM {schema}.{name} p JOIN {name} q ON p.d.r = q.id GROUP BY q.id")
+
+
+def compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three inserts that disagree in their types, as one file set; one of a fourth insert is taken out again."""
+    e = engine_for(spark, sf_dir)
+    name = _fresh(e, "id BIGINT, d JSON")
+    for k in range(3):
+        value = ("n_nationkey", "n_name", "array(n_regionkey)")[k]
+        e.sql(f"INSERT INTO {name} SELECT n_nationkey, to_json(named_struct('v', {value})) FROM nation WHERE n_nationkey % 3 = {k}")
+    t = e.table(name)
+    t.compact()
+    (kept,) = t.manifest.state()[0]
+    e.sql(f"INSERT INTO {name} VALUES (99, NULL)")
+    t.manifest.remove(*(s.id for s in t.manifest.state()[0] if s.id != kept.id))
+    return e.sql(f"SELECT id, d.v AS v FROM {name}")
+
+
+_MORE = (named_schema, compacted, j_text_getters, copy_ndjson, table_hints, table_options, ddl_errors, empty_and_dropped, value_counts_with_nulls, escaped_text, stream_tail)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _query(n) for n in _SQL} | {f.__name__: f for f in _MORE}
 ORACLE_SQL: dict[str, str] = {n: check or statement for n, (_, statement, check) in _SQL.items()} | {
     "j_text_getters": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN json_extract(props, '$.k')::VARCHAR ELSE '\"' || event_type || '\"' END AS t, CASE WHEN event_id % 2 = 0 THEN json_extract(props, '$.k')::BIGINT END AS i, CASE WHEN event_id % 2 = 1 THEN event_type END AS s FROM events",
     "copy_ndjson": "SELECT json_extract(props, '$.k')::VARCHAR AS k, count(*) AS n, 0::BIGINT AS ids FROM events GROUP BY 1",
+    "named_schema": "SELECT r_regionkey AS id, count(*) AS n FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_regionkey < 3 GROUP BY 1",
+    "compacted": "SELECT n_nationkey AS id, CASE n_nationkey % 3 WHEN 0 THEN n_nationkey::VARCHAR WHEN 1 THEN '\"' || n_name || '\"' ELSE '[' || n_regionkey || ']' END AS v FROM nation",
     "table_hints": "SELECT event_id AS id, event_id + event_id % 100 AS k, NULL::VARCHAR AS s, 4 AS refused FROM events",
     "table_options": "SELECT codec, true AS written, 25::BIGINT AS n FROM (VALUES ('zstd'), ('gzip'), ('snappy'), ('lz4_raw'), ('uncompressed')) AS t(codec)",
     "ddl_errors": "SELECT n::INT AS n, true AS refused FROM range(17) AS t(n)",
