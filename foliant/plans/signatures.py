@@ -29,6 +29,9 @@ SIGNATURES["CONV"] = ("", "int", "int")
 #: Functions whose arguments have one type.
 TOGETHER = set("COALESCE NVL IFNULL NULLIF GREATEST LEAST ARRAY IF IFF NVL2 EQUAL_NULL".split())
 
+#: Functions that give one of the values they get.
+PASSING = set("MAX MIN FIRST FIRST_VALUE LAST LAST_VALUE ANY_VALUE MODE LAG LEAD NTH_VALUE MAX_BY MIN_BY".split())
+
 #: Array functions by their arguments: a array, e element, i index, s string, l anything else.
 ARRAYS: dict[str, str] = {
     **_each("ae", "ARRAY_CONTAINS ARRAY_POSITION ARRAY_REMOVE ARRAY_APPEND ARRAY_PREPEND"),

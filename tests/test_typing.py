@@ -101,6 +101,13 @@ CASES = [
     ("SELECT max(data.age) AS x FROM u GROUP BY data.s HAVING max(data.age) > 40 AND data.s <> 'z'", [41]),
     ("SELECT data.b AS x FROM u GROUP BY data.b HAVING NOT (data.b)", ["false"]),
     ("SELECT CASE WHEN data.s = 'x' THEN count(*) ELSE 0 END AS x FROM u GROUP BY data.s", [2, 0]),
+    ("SELECT data.s AS x FROM u GROUP BY data.s HAVING max(data.n) = 5 OR data.s IN ('z')", ['"x"']),
+    ("SELECT count(*) AS x FROM u HAVING max(data.n) > min(id) + 5", [3]),
+    ("SELECT id FROM (SELECT id, CASE WHEN lag(data.n) OVER (ORDER BY id) = id + 3 THEN 1 END AS x FROM u) q WHERE x = 1", [2]),
+    ("SELECT max(data.v) AS x FROM u", ["7"]),
+    # rows, value by value
+    ("SELECT id FROM u WHERE (data.name, data.age) IN (('Ada', 39), ('Cid', 40))", [1]),
+    ("SELECT id FROM u WHERE (data.n, data.s) = (id + 4, 'y')", [3]),
     # the two functions, on anything
     ("SELECT json_display(id) AS x FROM u", ["1", "2", "3"]),
     ("SELECT json_display(note) AS x FROM u WHERE id = 1", ['"Ada"']),
