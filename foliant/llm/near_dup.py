@@ -299,13 +299,19 @@ def _cross_links(buckets: DataFrame, reps: DataFrame, comp: DataFrame, texts: Da
     x = buckets.where("n > 2").join(comp, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
     x = scratch.table(x)
     per = x.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("comps"), F.sum("n").alias("all"), F.max(F.struct("n", "comp")).alias("top"))
-    per = scratch.table(per.where("comps > 1").select("key", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.n")).alias("minor")))
-    x = scratch.table(x.join(per, "key"))
+    per = scratch.table(per.select("key", "comps", "all", F.col("top.comp").alias("main"), (F.col("all") - F.col("top.n")).alias("minor")))
+    x = scratch.table(join_by_key(x, per, "key", "all", x.count(), of=F.col("comps") > 1).select("key", "id", "comp", "main", "minor"))
     # members are dealt over blocks by the buckets' main component, so that a block is the same in all its buckets
     dealt = scratch.table(x.groupBy("main", "id", "comp").agg(F.lit(1).alias("one")).drop("one"))
     size = dealt.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(F.col("comp") != F.col("main")) / (4 * BLOCK)).cast("int").alias("chunks"))
+    size = scratch.table(size)
+
+    def sized(rows: DataFrame) -> DataFrame:
+        """Rows with the blocks and chunks of their main component, of which one may hold most rows."""
+        return join_by_key(rows, rows.groupBy("main").agg(F.count("*").alias("n")).join(size, "main"), "main", "n", rows.count())
+
     spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
-    y = x.join(size, "main").join(reps.select("id", "sig"), "id")
+    y = sized(x).join(reps.select("id", "sig"), "id")
     parts = F.ceil(F.col("minor") / BLOCK).cast("int")
     queries = y.where("comp <> main").select("main", "key", spread(parts, 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), "id", "comp", "sig")
     members = y.select("main", "key", F.explode(F.sequence(F.lit(0), parts - 1)).alias("i"), spread(F.col("blocks"), 2).alias("j"), F.lit(1).alias("side"), "id", "comp", "sig")
@@ -314,11 +320,11 @@ def _cross_links(buckets: DataFrame, reps: DataFrame, comp: DataFrame, texts: Da
     found = scratch.table(found.groupBy("main", "j", "id").agg(F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners")))
     if found.isEmpty():
         return found.select(F.col("id").alias("a"), F.col("id").alias("b"))
-    place = dealt.join(size, "main").select("main", "id", "comp", "chunks", spread(F.col("blocks"), 2).alias("j"))
+    place = sized(dealt).select("main", "id", "comp", "chunks", spread(F.col("blocks"), 2).alias("j"))
     place = place.join(found.select("main", "j").distinct(), ["main", "j"], "left_semi")
     none = F.lit(None).cast("array<long>")
     members = place.select("main", "j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("side"), "id", "comp", none.alias("partners"))
-    queries = found.join(size, "main").select("main", "j", spread(F.col("chunks"), 3).alias("chunk"), F.lit(1).alias("side"), "id", F.lit(0).cast("long").alias("comp"), "partners")
+    queries = sized(found).select("main", "j", spread(F.col("chunks"), 3).alias("chunk"), F.lit(1).alias("side"), "id", F.lit(0).cast("long").alias("comp"), "partners")
     rows = members.unionByName(queries).join(texts, "id").select("main", "j", "chunk", "side", "id", "comp", "text", "partners")
     rows = rows.repartition("main", "j", "chunk").sortWithinPartitions("main", "j", "chunk", "side")
     return scratch.table(rows.mapInArrow(_verify_blocks, "a long, b long").distinct())
@@ -344,7 +350,9 @@ def _judged(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     heads = scratch.table(keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")))
     buckets = scratch.table(join_by_key(keyed, heads.where("n > 1"), "key", "n", BANDS * total).select("key", "id", "head", "n"))
     pairs = buckets.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = pairs.join(reps.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
+    pairs = scratch.table(pairs)
+    stars = scratch.table(pairs.groupBy("a").agg(F.count("*").alias("n")).join(reps.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a"))
+    pairs = join_by_key(pairs, stars, "a", "n", pairs.count()).join(reps.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b")
     pairs = scratch.table(pairs.select("a", "b", "sa", "sb").mapInArrow(_prune, "a long, b long, matches long").select("a", "b").distinct())
     # the texts that verification can ask for are fetched once, by a join that is the same at every size
     asked = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(buckets.where("n > 2").select("id")).distinct()

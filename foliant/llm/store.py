@@ -77,15 +77,18 @@ class Scratch:
 HOT = 1000
 
 
-def join_by_key(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
+def join_by_key(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, how: str = "inner", of: Column | None = None) -> DataFrame:
     """left joined with right, which has one row for each key and, in ``weight``, how many rows left has of it at least.
 
     Rows of hot keys stay where they are: of right at most HOT rows are hot, so those are broadcast. Only the others are
-    dealt out by their key, and none of their keys is large. how: inner or left.
+    dealt out by their key, and none of their keys is large. how: inner or left. of: the rows of right that may be joined
+    (with inner only); right has to list the keys of the others all the same, so that hot ones among them are known.
     """
     hot = F.col(weight) * HOT >= max(1, total)
     many, few = right.where(hot), right.where(~hot)
     rest = left.join(F.broadcast(many.select(key)), key, "left_anti")
+    if of is not None:
+        many, few = many.where(of), few.where(of)
     return left.join(F.broadcast(many), key).unionByName(rest.join(few, key, how))
 
 

@@ -4,6 +4,7 @@ from math import comb
 import numpy as np
 import pytest
 from compare import check
+from pyspark.sql import functions as F
 
 from foliant.llm import near_dup, queries
 from foliant.llm.components import components
@@ -206,6 +207,8 @@ def test_hot_keys_are_not_dealt_out(spark):
         out = join_by_key(left, right, "key", "n", 6001, how)
         want = left.join(right, "key", how)
         assert out.count() == n and sorted(map(tuple, out.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    few = join_by_key(left, right, "key", "n", 6001, of=F.col("key") > 7)  # the hot key is known, and not joined
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, left.join(right.where("key > 7"), "key").collect()))
 
 
 def test_components(spark):
