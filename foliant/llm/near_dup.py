@@ -303,13 +303,10 @@ def _cross_links(buckets: DataFrame, reps: DataFrame, comp: DataFrame, texts: Da
     x = scratch.table(join_by_key(x, per, "key", "all", x.count(), of=F.col("comps") > 1).select("key", "id", "comp", "main", "minor"))
     # members are dealt over blocks by the buckets' main component, so that a block is the same in all its buckets
     dealt = scratch.table(x.groupBy("main", "id", "comp").agg(F.lit(1).alias("one")).drop("one"))
-    size = dealt.groupBy("main").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(F.col("comp") != F.col("main")) / (4 * BLOCK)).cast("int").alias("chunks"))
-    size = scratch.table(size)
-
-    def sized(rows: DataFrame) -> DataFrame:
-        """Rows with the blocks and chunks of their main component, of which one may hold most rows."""
-        return join_by_key(rows, rows.groupBy("main").agg(F.count("*").alias("n")).join(size, "main"), "main", "n", rows.count())
-
+    size = dealt.groupBy("main").agg(F.count("*").alias("n"), F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.ceil(F.count_if(F.col("comp") != F.col("main")) / (4 * BLOCK)).cast("int").alias("chunks"))
+    size, total = scratch.table(size), dealt.count()
+    # a main component may hold most of the rows
+    sized = lambda rows: join_by_key(rows, size, "main", "n", total)
     spread = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), n).cast("int")
     y = sized(x).join(reps.select("id", "sig"), "id")
     parts = F.ceil(F.col("minor") / BLOCK).cast("int")
