@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -214,3 +215,34 @@ def test_toxicity_learns_a_rare_word(spark):
     model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
     zorgle, vile, clean = model.scores([b"zorgle here.", b"vile here.", b"clean here."])
     assert zorgle > 0.95 and vile > 0.7 and clean < 0.3
+
+
+def test_toxicity_long_texts_stay_out_of_memory(spark):
+    """The sample's texts, 26 MB in all, are read one at a time; two words and the whole tail of a text still count."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefg") for _ in range(r.randrange(3, 9))) for _ in range(400)]
+    rows = [(k, ". ".join(" ".join(r.choices(words, k=10)) for _ in range(6600)) + (". vile zorgle" if k % 2 else "."), k % 2) for k in range(64)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(4)
+    size = sum(len(t) for _, t, _ in rows)
+    docs, labels = df.select("doc_id", "text"), df.select("doc_id", "toxic")
+    tracemalloc.start()
+    model = toxicity.train(docs, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert size > 20e6 and peak < size
+    assert [s >= 0.7 for s in model.scores([b"all is vile zorgle", rows[1][1].encode(), rows[0][1].encode()])] == [True, True, False]
+
+
+def test_toxicity_by_ranges_and_segments(monkeypatch):
+    """Counting hashes in ranges and training in segments give the model that one range and one segment give."""
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefg") for _ in range(r.randrange(3, 9))) for _ in range(3000)]
+    texts = [". ".join(" ".join([*r.choices(words, k=8), *(["vile"] if k % 3 == 0 and i == 2 else [])]) for i in range(5)).encode() for k in range(300)]
+    labels = [int(k % 3 == 0) for k in range(300)]
+    whole = toxicity.Model([*texts, b""], [*labels, 0])
+    monkeypatch.setattr(toxicity, "COUNTED", 64)
+    monkeypatch.setattr(toxicity, "SEGMENT", 50)
+    monkeypatch.setattr("foliant.llm.words.chunks.__defaults__", (False, 2000))
+    parts = toxicity.Model([*texts, b""], [*labels, 0])
+    assert len(whole.vocabulary) and np.array_equal(whole.vocabulary, parts.vocabulary)
+    assert parts.weights == pytest.approx(whole.weights) and parts.bias == pytest.approx(whole.bias)
